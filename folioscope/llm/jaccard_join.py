@@ -349,6 +349,13 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row id of each group of linked texts: the smallest."""
+    found = jaccard_classes(docs, size, num, den).where("doc_id <> component_id")
+    gone = materialize(found.select(F.col("doc_id").alias("gone")).distinct(), "copies")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), size=4, num=85)
 
