@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("plans.rollups",)
+MODULES = ("plans.rollups", "operators.sheets")
 
 
 def queries() -> dict:
