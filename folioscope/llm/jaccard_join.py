@@ -36,6 +36,8 @@ BUCKETS, CHUNK = 1 << 18, 1 << 12
 MINHASHES, AGREE = 6, 3
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
+#: Parts of the token space whose counts bound the overlap of two sets before they meet.
+BINS = 128
 #: Members compared by one task with what comes near their leader.
 MEMBERS = 256
 
@@ -110,16 +112,15 @@ def _bits(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
 
 
 def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.ndarray):
-    """Rows (f1, n, prefix, items): prefix if counts are given, items of wanted sets."""
-    schema = pa.schema([("f1", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("items", pa.binary())])
+    """Rows (f1, n, prefix, bins, items): prefix and bins if counts are given, items of wanted sets."""
+    schema = pa.schema([("f1", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bins", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = _shingler(size), set()
         passes = np.unpackbits(wanted).astype(bool)
 
         def flush(rows):
-            f, n, p, i = zip(*rows, strict=True)
-            return pa.record_batch([pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64())), pa.array(i, pa.binary())], schema=schema)
+            return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             rows, held = [], 0
@@ -132,15 +133,16 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(f1)
-                prefix = None
+                prefix = bins = None
                 if counts is not None:
+                    bins = _bins(s)
                     p = len(s) - -(-num * len(s) // den) + 1
                     c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     prefix = s[np.lexsort((s, c))[:p]].astype(np.int64)
                 items = s.tobytes() if passes[f1 % len(passes)] else None
                 if prefix is None and items is None:
                     continue
-                rows.append((f1, len(s), prefix, items))
+                rows.append((f1, len(s), prefix, bins, items))
                 held += 8 * ((0 if prefix is None else len(prefix)) + (len(s) if items else 0))
                 if held > 4 << 20:
                     yield flush(rows)
@@ -151,6 +153,50 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
     return run
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """How many tokens have each value of their top bits: their sums of minima bound overlaps."""
+    n = np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+
+
+def _counts_of(bins: bytes) -> np.ndarray:
+    return np.frombuffer(bins, dtype=np.uint8 if len(bins) == BINS else np.uint32).astype(np.int64)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, limit, na, nb, bins of a, bins of b): pairs whose overlap can reach Jaccard 1 - limit."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        limit, na, nb = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        x, y = (np.stack([_counts_of(v.as_py()) for v in batch.column(i)]) for i in (5, 6))
+        most = np.minimum(x, y).sum(axis=1)
+        fits = most + 1e-6 >= (1 - limit) * (na + nb - most)
+        yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits))
+
+
+def _shared(passes: np.ndarray):
+    """Rows (c, n, prefix) to (token, c, n, r), of tokens that the bitmap holds."""
+    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = np.unpackbits(passes).astype(bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            listed = batch.column(2)
+            token = listed.flatten().to_numpy()
+            count = np.diff(listed.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), count)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            some = holds[token % len(holds)]
+            token, row, pos = token[some], row[some], pos[some]
+            n = batch.column(1).to_numpy()[row]
+            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos)], schema=schema)
+
+    return run
+
+
 def _lists(num: int, den: int):
     """Candidate pairs (a, b) from index lists: rows (token, cell, c, n, r) sorted by token, cell, n."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -294,8 +340,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tried = materialize(tried.where(F.col("agree") >= AGREE).select("a", "b"), "tried")
     wanted = _bits(tried.select("a").union(tried.select("b")), "a")
 
-    kept = materialize(texts.select("text").mapInArrow(_emit(size, num, den, counts, wanted), "f1 long, n long, prefix array<long>, items binary"), "kept")
-    sets = kept.where("items is not null").select("f1", "items").groupBy("f1").agg(F.first("items").alias("items"))
+    kept = materialize(texts.select("text").mapInArrow(_emit(size, num, den, counts, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary"), "kept")
+    sets = materialize(kept.where("items is not null").select("f1", "items").groupBy("f1").agg(F.first("items").alias("items")), "sets")
     near = materialize(_verify(tried, sets, num, den, 1 - num / den), "near").where("links")
     roots = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     led = materialize(roots.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("b", F.col("best.a").alias("leader"), F.col("best.d").alias("d")), "led")
@@ -303,7 +349,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # index lists: one entry per token, leader and size
     prefixes = kept.where("prefix is not null").select("f1", "n", "prefix").groupBy("f1", "n").agg(F.first("prefix").alias("prefix"))
     prefixes = prefixes.join(led.select(F.col("b").alias("f1"), "leader"), "f1", "left").select("n", "prefix", F.coalesce("leader", "f1").alias("c"))
-    posted = prefixes.select("c", "n", F.posexplode("prefix").alias("pos", "token")).groupBy("token", "c", "n").agg((F.col("n") - F.min("pos")).cast("long").alias("r"))
+    prefixes = materialize(prefixes.select("c", "n", "prefix"), "prefixes")
+    # tokens of one class alone, most by far, are only counted, by a part of the class number
+    owner = F.shiftright("c", 32).cast("int").alias("o")
+    shared = prefixes.select(owner, F.explode("prefix").alias("token")).groupBy("token").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi")
+    posted = prefixes.mapInArrow(_shared(_bits(shared, "token")), "token long, c long, n long, r long").groupBy("token", "c", "n").agg(F.max("r").alias("r"))
     posted = materialize(posted, "posted")
     sized = posted.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     sized = materialize(sized.select("token", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), "sized")
@@ -311,17 +361,24 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     entries = entries.select("token", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).cast("long").alias("cell"), "c", "n", "r")
     met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(_lists(num, den), "a long, b long")
-    met = materialize(met.distinct(), "met")
+    far = 1 - num / den
+    radius = led.groupBy(F.col("leader").alias("l")).agg(F.max("d").alias("radius"))
+    bins = materialize(kept.where("bins is not null").groupBy("f1").agg(F.first("n").alias("n"), F.first("bins").alias("bins")).join(radius, F.col("f1") == radius.l, "left").select("f1", "n", "bins", F.coalesce("radius", F.lit(0.0)).alias("radius")), "bins")
+    met = materialize(met.distinct(), "candidates")
+    met = met.join(bins.select(F.col("f1").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"), F.col("radius").alias("ra")), "a")
+    met = met.join(bins.select(F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"), F.col("radius").alias("rb")), "b")
+    met = met.select("a", "b", (far + F.col("ra") + F.col("rb")).alias("limit"), "na", "nb", "xa", "xb")
+    met = materialize(met.mapInArrow(_bounded, "a long, b long"), "met")
 
     # exact distances between leaders; up to three limits apart their members may link
-    have = materialize(sets, "sets")
+    have = sets
     ids = met.select("a").union(met.select("b")).distinct()
     more = ids.join(have.select(F.col("f1").alias("a")), "a", "left_anti")
     wanted = _bits(more, "a")
     if wanted.any():
-        extra = texts.select("text").mapInArrow(_emit(size, num, den, None, wanted), "f1 long, n long, prefix array<long>, items binary")
-        have = materialize(have.unionByName(extra.select("f1", "items")).groupBy("f1").agg(F.first("items").alias("items")), "sets")
-    far = 1 - num / den
+        extra = texts.select("text").mapInArrow(_emit(size, num, den, None, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary")
+        extra = extra.select("f1", "items").join(have.select("f1"), "f1", "left_anti").groupBy("f1").agg(F.first("items").alias("items"))
+        have = have.unionByName(materialize(extra, "more"))
     pairs = materialize(_verify(met, have, num, den, 3 * far), "pairs")
     links = near.select("a", "b").unionByName(pairs.where("links").select("a", "b"))
 
