@@ -23,7 +23,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 CLASSES = (*LANGUAGES, "und")
 TABLE = 1 << 16
 #: Rows of the training sample for each language, and characters of a row of it at most.
-SAMPLE, SAMPLE_CHARS = 300, 20_000
+SAMPLE, SAMPLE_CHARS = 200, 5_000
 #: Trigrams count as independent evidence up to this many; more only sharpen the mean.
 WEIGHT = 60.0
 #: Strength of the smoothing towards the level above.

@@ -158,16 +158,15 @@ class Isotonic:
 
 
 class ToxicityModel:
-    def __init__(self, rows: list[tuple[str, int]], learned: list[str]):
+    """Fitted on feature rows; every fifth is held back for the calibration."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, learned: list[str]):
         self.features = Features(learned)
-        texts, y = [t or "" for t, _ in rows], np.array([v for _, v in rows], dtype=np.float64)
-        x = self.features.of(pa.array(texts, pa.large_string())) if texts else np.empty((0, len(FEATURES)))
         held = np.arange(len(y)) % 5 == 4
         if held.sum() < 2 or not 0 < y[~held].sum() < (~held).sum():
             held[:] = False
         self.trees = Trees().fit(x[~held], y[~held])
-        f = self.trees.raw(x) if len(x) else np.empty(0)
-        self.scale = Isotonic().fit(f[held], y[held]) if held.any() else None
+        self.scale = Isotonic().fit(self.trees.raw(x[held]), y[held]) if held.any() else None
 
     def score(self, column: pa.Array) -> np.ndarray:
         f = self.trees.raw(self.features.of(column))
@@ -190,15 +189,29 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = _sample(docs, labels)
-    small = rows.where(F.length("text") <= 50_000)  # a bound on what comes to the driver
-    got = [(r["text"], r["y"]) for r in small.orderBy("h").select("text", "y").limit(SAMPLE // 4).collect()]
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))))
     seen = rows.select(word.alias("w"), "y").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 5")
     sums = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n1, n0 = (float(v or 0) + 1 for v in sums)
     odds = F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0)
     top = seen.withColumn("o", odds).where(F.col("o") > 1.5).orderBy(F.desc(F.col("o") * F.sqrt("a")), "w").limit(LEARNED)
-    return ToxicityModel(got, [r["w"] for r in top.collect()])
+    learned = [r["w"] for r in top.collect()]
+    # at most SAMPLE rows of numbers come to the driver, no texts
+    got = sorted(map(tuple, rows.select("h", "y", "text").mapInArrow(_described(learned), "h long, y int, x array<double>").collect()))
+    x = np.array([r[2] for r in got], dtype=np.float64).reshape(len(got), len(FEATURES))
+    return ToxicityModel(x, np.array([r[1] for r in got], dtype=np.float64), learned)
+
+
+def _described(learned: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(learned)
+        for batch in batches:
+            if batch.num_rows:
+                x = features.of(batch.column(2))
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+                yield pa.record_batch([batch.column(0), batch.column(1), listed], names=["h", "y", "x"])
+
+    return run
 
 
 def _scored(model: ToxicityModel):
