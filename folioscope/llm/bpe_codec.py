@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .stages import table
 
 NONE = np.int64(1 << 40)
-#: Words kept between batches; beyond, the cache starts anew.
-CACHE = 300_000
+#: Words kept between batches of a task; beyond, the cache starts anew.
+CACHE = 200_000
 #: White space as the tokenizer's own pattern language has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -209,6 +209,7 @@ def _batches(path: str, keep_ids: bool):
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [f.type for f in schema][1:], strict=True)]
                 yield pa.record_batch([ids.slice(i, j - i), *columns], schema=schema)
                 i = j
+        bpe.reset()  # the worker process may live on, with other work to do
 
     return run
 

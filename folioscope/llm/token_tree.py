@@ -23,7 +23,7 @@ from .stages import table
 #: Characters after its end that decide where a pre-token ends, and one to spare.
 CONTEXT = 3
 LEAF = 64
-CACHE = 500_000
+CACHE = 200_000
 
 #: What the default edits replace: addresses, keys and long numbers.
 EDITS = (
@@ -203,6 +203,7 @@ def _run(path: str, pattern: str, edits):
                 rows.append((before, len(todo), tree.total(), tree.encoded, tree.chars[1]))
             if rows:
                 yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], schema=schema)
+        counter.known.clear()  # the worker process may live on, with other work to do
 
     return run
 

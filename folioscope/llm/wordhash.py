@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _SEED = 0x5EED
 #: Bytes handled at once; the work arrays take about 40 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
