@@ -179,7 +179,7 @@ def vector_classes(vectors: DataFrame, limit: float = 0.98, id_col: str = "vec_i
     sized = materialize(grouped.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "sized")
     inside = grouped.withColumnRenamed("node", "rep").join(sized, "component").join(classes.select("rep", "copies", "embedding"), "rep")
     inside = inside.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    inside = inside.select(F.xxhash64("component", cell).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "embedding")
+    inside = inside.select(F.xxhash64("component", cell).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "embedding", (F.col("own") != F.col("other")).alias("mixed"))
     counted = inside.repartition("key").sortWithinPartitions("key").mapInArrow(_counted(limit), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
     known = classes.select("h", "rep", "copies").join(counted, "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
