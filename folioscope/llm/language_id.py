@@ -29,7 +29,7 @@ WEIGHT = 60.0
 #: Strength of the smoothing towards the level above.
 KAPPA = 8.0
 #: Under text of no language a trigram is one of so many.
-NOWHERE = 100_000.0
+NOWHERE = 1_000_000.0
 #: A row is rejected if no language reaches this probability.
 LEAST = 0.5
 
@@ -54,6 +54,7 @@ class TextModel:
         every /= every.sum()
         total = counts.sum(axis=1, keepdims=True)
         p = (counts + 200.0 * every) / (total + 200.0)
+        p = 0.98 * p + 0.02 / TABLE
         p[-1] = 1.0 / NOWHERE
         self.table = np.log(p).T.astype(np.float32).copy()
 
