@@ -34,6 +34,8 @@ SPACES = {32, 9, 10, 11, 12, 13}
 #: Size of the token count table; its bound is what is broadcast.
 BUCKETS, CHUNK = 1 << 18, 1 << 12
 MINHASHES, AGREE = 6, 3
+#: Bits of the map of tokens that several classes have (8 MB); what passes it by chance is found alone later.
+TOKEN_BITS = 1 << 26
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
 #: Parts of the token space whose counts bound the overlap of two sets before they meet.
@@ -99,16 +101,22 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
+def _holds(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids (signed) the bitmap holds, without unpacking it."""
+    at = ids % (8 * len(packed))
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _bits(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     """A fixed-size bitmap that holds at least the given 64-bit ids; what passes it is joined with them."""
     where = F.pmod(F.col(column), F.lit(bits)) + 1  # bucket b begins at (b - 1) * 32768 + 1
     got = ids.select(F.bitmap_bucket_number(where).alias("b"), F.bitmap_bit_position(where).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-    out = np.zeros(bits, dtype=bool)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for b, m in got.collect():  # at most bits / 32768 rows
-        part = np.unpackbits(np.frombuffer(bytes(m), dtype=np.uint8), bitorder="little")
-        at = (b - 1) * 32768
-        out[at : at + len(part)] |= part[: max(0, bits - at)].astype(bool)
-    return np.packbits(out)
+        part = np.packbits(np.unpackbits(np.frombuffer(bytes(m), dtype=np.uint8), bitorder="little"))
+        at = (b - 1) * 4096
+        out[at : at + len(part)] |= part[: max(0, len(out) - at)]
+    return out
 
 
 def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.ndarray):
@@ -117,7 +125,6 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = _shingler(size), set()
-        passes = np.unpackbits(wanted).astype(bool)
 
         def flush(rows):
             return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -139,7 +146,7 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
                     p = len(s) - -(-num * len(s) // den) + 1
                     c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     prefix = s[np.lexsort((s, c))[:p]].astype(np.int64)
-                items = s.tobytes() if passes[f1 % len(passes)] else None
+                items = s.tobytes() if _holds(wanted, np.array([f1]))[0] else None
                 if prefix is None and items is None:
                     continue
                 rows.append((f1, len(s), prefix, bins, items))
@@ -180,7 +187,6 @@ def _shared(passes: np.ndarray):
     schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds = np.unpackbits(passes).astype(bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,7 +195,7 @@ def _shared(passes: np.ndarray):
             count = np.diff(listed.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), count)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
-            some = holds[token % len(holds)]
+            some = _holds(passes, token)
             token, row, pos = token[some], row[some], pos[some]
             n = batch.column(1).to_numpy()[row]
             yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos)], schema=schema)
@@ -353,7 +359,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # tokens of one class alone, most by far, are only counted, by a part of the class number
     owner = F.shiftright("c", 32).cast("int").alias("o")
     shared = prefixes.select(owner, F.explode("prefix").alias("token")).groupBy("token").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi")
-    posted = prefixes.mapInArrow(_shared(_bits(shared, "token")), "token long, c long, n long, r long").groupBy("token", "c", "n").agg(F.max("r").alias("r"))
+    posted = prefixes.mapInArrow(_shared(_bits(shared, "token", TOKEN_BITS)), "token long, c long, n long, r long").groupBy("token", "c", "n").agg(F.max("r").alias("r"))
     posted = materialize(posted, "posted")
     sized = posted.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     sized = materialize(sized.select("token", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), "sized")
