@@ -398,7 +398,9 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     if both.take(1):
         probes = both.select("a", F.col("b").alias("p"), "blocks").unionByName(both.join(led.withColumnRenamed("b", "p"), both.b == F.col("leader")).where(both.d - both.radius - led.d <= far + 1e-9).select("a", "p", "blocks"))
         probes = probes.distinct().join(have, F.col("p") == have.f1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        hubs = both.select("a", "blocks").distinct().join(led.select(F.col("leader").alias("a"), F.col("b").alias("p")), "a").join(have, F.col("p") == have.f1).withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+        hubs = both.select("a", "blocks").distinct()
+        hubs = hubs.join(led.select(F.col("leader").alias("a"), F.col("b").alias("p")), "a").unionByName(hubs.withColumn("p", F.col("a")))  # a leader may link with another's member
+        hubs = hubs.join(have, F.col("p") == have.f1).withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
         key = F.xxhash64("a", "k").alias("key")
         rows = hubs.select(key, F.lit(0).alias("role"), "f1", "items").unionByName(probes.select(key, F.lit(1).alias("role"), "f1", "items"))
         links = links.unionByName(_compare(rows, num, den, far).where("links").select("a", "b"))

@@ -32,15 +32,7 @@ def words(text, separators):
     return re.findall(separators, (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-def test_jaccard_is_exact(spark):
-    r = random.Random(3)
-    pool = [[f"w{r.randrange(60)}" for _ in range(40)] for _ in range(6)]
-    texts = []
-    for _ in range(150):
-        w = list(r.choice(pool))
-        for _ in range(r.randrange(3)):
-            w[r.randrange(40)] = f"x{r.randrange(9)}"
-        texts.append(" ".join(w[: r.choice([2, 3, 20, 40, 40, 40])]))
+def check_jaccard(spark, texts):
     sets = []
     for t in texts:
         w = t.split()
@@ -54,6 +46,34 @@ def test_jaccard_is_exact(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), group[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_is_exact(spark):
+    r = random.Random(3)
+    pool = [[f"w{r.randrange(60)}" for _ in range(40)] for _ in range(6)]
+    texts = []
+    for _ in range(150):
+        w = list(r.choice(pool))
+        for _ in range(r.randrange(3)):
+            w[r.randrange(40)] = f"x{r.randrange(9)}"
+        texts.append(" ".join(w[: r.choice([2, 3, 20, 40, 40, 40])]))
+    check_jaccard(spark, texts)
+
+
+def test_jaccard_chains(spark):
+    """Copied leaders whose members reach each other or the other leader only."""
+    r = random.Random(8)
+    texts = []
+    for c in range(12):
+        w = [f"c{c}w{k}" for k in range(70)]
+        for _ in range(9):
+            texts += [" ".join(w)] * r.choice([1, 1, 2, 4])
+            for _ in range(r.randrange(1, 3)):
+                w[r.randrange(70)] = f"y{r.randrange(10**6)}"
+    long = [f"l{r.randrange(10**6)}" for _ in range(3000)]
+    texts += [" ".join(long), " ".join(long[150:]), " ".join(long[700:])]
+    r.shuffle(texts)
+    check_jaccard(spark, texts)
+
+
 def test_jaccard_awkward(docs, empty):
     got = jaccard_join.jaccard_classes(docs, 4, 85).collect()
     assert len(got) == len(TEXTS) + 2
