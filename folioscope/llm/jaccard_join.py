@@ -19,6 +19,7 @@ long lists are split into cells of bounded size and every pair of cells is visit
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import components, materialize, table
+from .stages import bucketed, components, materialize, table
 from .wordhash import Shingler, Words, mix
 
 SPACES = {32, 9, 10, 11, 12, 13}
@@ -38,8 +39,8 @@ MINHASHES, AGREE = 6, 3
 TOKEN_BITS = 1 << 26
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
-#: Parts of the token space whose counts bound the overlap of two sets before they meet.
-BINS = 128
+#: Tokens for each part of the token space; the parts' counts bound the overlap of two sets before they meet.
+PER_BIN, LEAST_BINS = 4, 64
 #: Members compared by one task with what comes near their leader.
 MEMBERS = 256
 
@@ -160,14 +161,21 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
     return run
 
 
+def _n_bins(n: int) -> int:
+    return max(LEAST_BINS, 1 << (-(-n // PER_BIN) - 1).bit_length())
+
+
 def _bins(s: np.ndarray) -> bytes:
     """How many tokens have each value of their top bits: their sums of minima bound overlaps."""
-    n = np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    k = _n_bins(len(s))
+    n = np.bincount((s >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k)
     return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
 
 
-def _counts_of(bins: bytes) -> np.ndarray:
-    return np.frombuffer(bins, dtype=np.uint8 if len(bins) == BINS else np.uint32).astype(np.int64)
+def _counts_of(bins: bytes, n: int, k: int) -> np.ndarray:
+    """The counts of a set of n tokens in k parts, as many as its own or fewer."""
+    own = np.frombuffer(bins, dtype=np.uint8 if len(bins) == _n_bins(n) else np.uint32)
+    return own.reshape(k, -1).sum(axis=1, dtype=np.int64)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,29 +184,105 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         limit, na, nb = (batch.column(i).to_numpy() for i in (2, 3, 4))
-        x, y = (np.stack([_counts_of(v.as_py()) for v in batch.column(i)]) for i in (5, 6))
-        most = np.minimum(x, y).sum(axis=1)
+        most = np.empty(batch.num_rows, dtype=np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(5), batch.column(6), strict=True)):
+            k = _n_bins(int(min(na[i], nb[i])))
+            most[i] = np.minimum(_counts_of(x.as_py(), int(na[i]), k), _counts_of(y.as_py(), int(nb[i]), k)).sum()
         fits = most + 1e-6 >= (1 - limit) * (na + nb - most)
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits))
 
 
-def _shared(passes: np.ndarray):
-    """Rows (c, n, prefix) to (token, c, n, r), of tokens that the bitmap holds."""
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64())])
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, row and position of each prefix token of rows (c, n, prefix)."""
+    listed = batch.column(2)
+    token = listed.flatten().to_numpy()
+    count = np.diff(listed.offsets.to_numpy())
+    row = np.repeat(np.arange(batch.num_rows), count)
+    return token, row, np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: like bytes compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _owned(chunks: int):
+    """Rows (c, n, prefix) to (chunk, data): by parts of the token space, the low 32 bits
+    of each token with 32 bits of its class and a byte of its size, sorted, as steps."""
+    schema = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, row, _ = _flat(batch)
+            both = (token.view(np.uint64) << np.uint64(32)) | (batch.column(0).to_numpy().view(np.uint64)[row] >> np.uint64(32))
+            n = batch.column(1).to_numpy()[row].astype(np.uint8)
+            order = np.lexsort((n, both))
+            both, n = both[order], n[order]
+            new = np.ones(len(both), dtype=bool)
+            new[1:] = (both[1:] != both[:-1]) | (n[1:] != n[:-1])
+            both, n = both[new], n[new]
+            token, owner = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+            edge = np.searchsorted((token.astype(np.int64) * chunks) >> 32, np.arange(chunks + 1))
+            some = np.flatnonzero(edge[1:] > edge[:-1])
+            data = [_planes(np.diff(token[x], prepend=np.uint32(0))) + owner[x].tobytes() + n[x].tobytes() for x in (slice(edge[k], edge[k + 1]) for k in some)]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array(data, pa.binary())], schema=schema)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, data) sorted by chunk to (token, m): low bits of tokens of several
+    classes and how many entries their lists get."""
+    parts: list[bytes] = []
+
+    def done():
+        token, owner, size = [], [], []
+        for p in parts:
+            k = len(p) // 9
+            steps = np.frombuffer(p, np.uint8, 4 * k).reshape(4, k).T
+            token.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32))
+            owner.append(np.frombuffer(p, np.uint32, k, 4 * k))
+            size.append(np.frombuffer(p, np.uint8, k, 8 * k))
+        parts.clear()
+        both = np.concatenate(token).astype(np.uint64) << np.uint64(32) | np.concatenate(owner)
+        size = np.concatenate(size)
+        order = np.lexsort((size, both))
+        both, size = both[order], size[order]
+        new = np.ones(len(both), dtype=bool)
+        new[1:] = (both[1:] != both[:-1]) | (size[1:] != size[:-1])
+        both = both[new]
+        token = both >> np.uint64(32)
+        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        end = np.append(at[1:], len(token))
+        several = both[at] != both[end - 1]
+        return pa.record_batch([pa.array(token[at][several].astype(np.int64)), pa.array((end - at)[several])], names=["token", "m"])
+
+    chunk = None
+    for batch in batches:
+        for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != chunk and parts:
+                yield done()
+            chunk = k
+            parts.append(p)
+    if parts:
+        yield done()
+
+
+def _shared(passes: np.ndarray, hot: np.ndarray):
+    """Rows (c, n, prefix) to (token, c, n, r, hot), of tokens that the first bitmap holds."""
+    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("hot", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            listed = batch.column(2)
-            token = listed.flatten().to_numpy()
-            count = np.diff(listed.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), count)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            token, row, pos = _flat(batch)
             some = _holds(passes, token)
             token, row, pos = token[some], row[some], pos[some]
             n = batch.column(1).to_numpy()[row]
-            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos)], schema=schema)
+            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos), pa.array(_holds(hot, token & 0xFFFFFFFF))], schema=schema)
 
     return run
 
@@ -305,16 +389,21 @@ def _compare(rows: DataFrame, num: int, den: int, limit: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(_overlaps(limit)(num, den), "a long, b long, d double, links boolean")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, limit: float) -> DataFrame:
+def _with_items(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(key, role, f1) with the sets out of tables filed by f1."""
+    found = [rows.join(t, "f1").select("key", "role", "f1", "items") for t in tables]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _verify(pairs: DataFrame, tables: list[DataFrame], num: int, den: int, limit: float) -> DataFrame:
     """Exact distances of (a, b) pairs up to limit; a hub's partners are dealt over blocks."""
     sized = materialize(pairs.groupBy("a").agg(F.count("*").alias("m")), "hubs")
     salt = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(F.col("m") / MEMBERS)))
     key = F.xxhash64("a", "k")
     keyed = materialize(pairs.join(sized, "a").select("a", "b", salt("b").alias("k")), "keyed")
-    blocks = keyed.select("a", "k").distinct()
-    hubs = blocks.join(sets, blocks.a == sets.f1).select(key.alias("key"), F.lit(0).alias("role"), "f1", "items")
-    probes = keyed.join(sets, keyed.b == sets.f1).select(key.alias("key"), F.lit(1).alias("role"), "f1", "items")
-    return _compare(hubs.unionByName(probes), num, den, limit)
+    hubs = keyed.select("a", "k").distinct().select(key.alias("key"), F.lit(0).alias("role"), F.col("a").alias("f1"))
+    probes = keyed.select(key.alias("key"), F.lit(1).alias("role"), F.col("b").alias("f1"))
+    return _compare(_with_items(hubs.unionByName(probes), tables), num, den, limit)
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,25 +436,30 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     wanted = _bits(tried.select("a").union(tried.select("b")), "a")
 
     kept = materialize(texts.select("text").mapInArrow(_emit(size, num, den, counts, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary"), "kept")
-    sets = materialize(kept.where("items is not null").select("f1", "items").groupBy("f1").agg(F.first("items").alias("items")), "sets")
-    near = materialize(_verify(tried, sets, num, den, 1 - num / den), "near").where("links")
+    sets = bucketed(kept.where("items is not null").select("f1", "items").groupBy("f1").agg(F.first("items").alias("items")), "f1", "sets")
+    near = materialize(_verify(tried, [sets], num, den, 1 - num / den), "near").where("links")
     roots = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     led = materialize(roots.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("b", F.col("best.a").alias("leader"), F.col("best.d").alias("d")), "led")
 
-    # index lists: one entry per token, leader and size
-    prefixes = kept.where("prefix is not null").select("f1", "n", "prefix").groupBy("f1", "n").agg(F.first("prefix").alias("prefix"))
-    prefixes = prefixes.join(led.select(F.col("b").alias("f1"), "leader"), "f1", "left").select("n", "prefix", F.coalesce("leader", "f1").alias("c"))
-    prefixes = materialize(prefixes.select("c", "n", "prefix"), "prefixes")
-    # tokens of one class alone, most by far, are only counted, by a part of the class number
-    owner = F.shiftright("c", 32).cast("int").alias("o")
-    shared = prefixes.select(owner, F.explode("prefix").alias("token")).groupBy("token").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi")
-    posted = prefixes.mapInArrow(_shared(_bits(shared, "token", TOKEN_BITS)), "token long, c long, n long, r long").groupBy("token", "c", "n").agg(F.max("r").alias("r"))
+    # index lists: one entry per token, leader and size; only a set that was tried can have a leader
+    listed = kept.where("prefix is not null")
+    members = listed.where("items is not null").select("f1", "n", "prefix").join(led.select(F.col("b").alias("f1"), "leader"), "f1", "left")
+    prefixes = listed.where("items is null").select(F.col("f1").alias("c"), "n", "prefix")
+    prefixes = materialize(prefixes.unionByName(members.select(F.coalesce("leader", "f1").alias("c"), "n", "prefix")), "prefixes")
+    # tokens of one class alone, most by far, are only counted, by parts of token and class
+    chunks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owned = prefixes.mapInArrow(_owned(chunks), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
+    shared = materialize(owned.mapInArrow(_counted, "token long, m long"), "shared")
+    long = shared.where(F.col("m") > CELL)
+    passes = _shared(_bits(shared, "token", TOKEN_BITS), _bits(long, "token"))
+    posted = prefixes.mapInArrow(passes, "token long, c long, n long, r long, hot boolean").groupBy("token", "c", "n", "hot").agg(F.max("r").alias("r"))
     posted = materialize(posted, "posted")
-    sized = posted.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    sized = materialize(sized.select("token", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), "sized")
-    entries = posted.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    # a list longer than a cell is cut, and every two of its cells meet
+    long = long.select(F.col("token").alias("low"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    entries = posted.where("hot").join(long, F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("low"), "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     entries = entries.select("token", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).cast("long").alias("cell"), "c", "n", "r")
+    entries = entries.unionByName(posted.where("not hot").select("token", F.lit(0).cast("long").alias("cell"), "c", "n", "r"))
     met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(_lists(num, den), "a long, b long")
     far = 1 - num / den
     radius = led.groupBy(F.col("leader").alias("l")).agg(F.max("d").alias("radius"))
@@ -377,14 +471,14 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     met = materialize(met.mapInArrow(_bounded, "a long, b long"), "met")
 
     # exact distances between leaders; up to three limits apart their members may link
-    have = sets
+    have = [sets]
     ids = met.select("a").union(met.select("b")).distinct()
-    more = ids.join(have.select(F.col("f1").alias("a")), "a", "left_anti")
+    more = ids.join(sets.select(F.col("f1").alias("a")), "a", "left_anti")
     wanted = _bits(more, "a")
     if wanted.any():
         extra = texts.select("text").mapInArrow(_emit(size, num, den, None, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary")
-        extra = extra.select("f1", "items").join(have.select("f1"), "f1", "left_anti").groupBy("f1").agg(F.first("items").alias("items"))
-        have = have.unionByName(materialize(extra, "more"))
+        extra = extra.select("f1", "items").join(sets.select("f1"), "f1", "left_anti").groupBy("f1").agg(F.first("items").alias("items"))
+        have.append(bucketed(extra, "f1", "more"))
     pairs = materialize(_verify(met, have, num, den, 3 * far), "pairs")
     links = near.select("a", "b").unionByName(pairs.where("links").select("a", "b"))
 
@@ -394,15 +488,17 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     both = both.join(size_of, "a").join(size_of.select(F.col("a").alias("b"), F.col("radius").alias("other"), F.col("m").alias("m2")), "b", "left")
     both = both.where(F.col("d") - F.col("radius") - F.coalesce("other", F.lit(0.0)) <= far + 1e-9)
     both = both.where(F.col("m2").isNull() | (F.col("m") > F.col("m2")) | (F.col("m") == F.col("m2")) & (F.col("a") < F.col("b")))
-    both = materialize(both.select("a", "b", "d", "radius", F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks")), "both")
+    both = materialize(both.select("a", "b", "d", "radius", (F.col("d") - F.coalesce("other", F.lit(0.0))).alias("reach"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks")), "both")
     if both.take(1):
         probes = both.select("a", F.col("b").alias("p"), "blocks").unionByName(both.join(led.withColumnRenamed("b", "p"), both.b == F.col("leader")).where(both.d - both.radius - led.d <= far + 1e-9).select("a", "p", "blocks"))
-        probes = probes.distinct().join(have, F.col("p") == have.f1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        hubs = both.select("a", "blocks").distinct()
-        hubs = hubs.join(led.select(F.col("leader").alias("a"), F.col("b").alias("p")), "a").unionByName(hubs.withColumn("p", F.col("a")))  # a leader may link with another's member
-        hubs = hubs.join(have, F.col("p") == have.f1).withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+        probes = probes.distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        hubs = both.groupBy("a", "blocks").agg(F.min("reach").alias("reach"))
+        near_by = led.select(F.col("leader").alias("a"), F.col("b").alias("p"), "d")
+        hubs = hubs.join(near_by, "a").unionByName(hubs.withColumn("p", F.col("a")).withColumn("d", F.lit(0.0)))  # a leader may link with another's member
+        hubs = hubs.where(F.col("reach") - F.col("d") <= far + 1e-9).withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
         key = F.xxhash64("a", "k").alias("key")
-        rows = hubs.select(key, F.lit(0).alias("role"), "f1", "items").unionByName(probes.select(key, F.lit(1).alias("role"), "f1", "items"))
+        rows = hubs.select(key, F.lit(0).alias("role"), F.col("p").alias("f1")).unionByName(probes.select(key, F.lit(1).alias("role"), F.col("p").alias("f1")))
+        rows = _with_items(rows, have)
         links = links.unionByName(_compare(rows, num, den, far).where("links").select("a", "b"))
 
     rep = classes.select("f1", "rep")

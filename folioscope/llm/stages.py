@@ -31,6 +31,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "t") -> DataFrame:
+    """Like ``materialize``, filed by ``key``, so joins on it don't move the table again."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # out of the catalog; its files stay
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
 
