@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import lean, table
 
 NONE = np.int64(1 << 40)
 #: Words kept between batches of a task; beyond, the cache starts anew.
@@ -221,7 +221,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     or null ids stay separate; other columns are ignored; an empty table gives no rows.
     """
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_batches(path, keep_ids), kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_batches(path, keep_ids)), kind)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

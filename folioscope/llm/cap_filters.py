@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import components, materialize, table
+from .stages import components, lean, materialize, table
 
 BLOCKS, CODE = 4, 32
 #: Least inner product, as a part of the largest that any direction has with the vector, so
@@ -167,20 +167,20 @@ def vector_classes(vectors: DataFrame, limit: float = 0.98, id_col: str = "vec_i
     classes = rows.where("fine").groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.select("label", "rep", "embedding", "copies", "h"), "reps")
 
-    ways = materialize(classes.select("label", "rep", "embedding").mapInArrow(_filters, "label long, dim int, way long, rep long"), "ways")
+    ways = materialize(classes.select("label", "rep", "embedding").mapInArrow(lean(_filters), "label long, dim int, way long, rep long"), "ways")
     met = ways.groupBy("label", "dim", "way").agg(F.count("*").alias("m")).where("m > 1")
     met = materialize(met.withColumn("cells", F.ceil(F.col("m") / CELL).cast("int")), "met")
     cell = (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).alias("cell")
     rows_of = ways.join(met, ["label", "dim", "way"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows_of = rows_of.select(F.xxhash64("label", "dim", "way", cell).alias("key"), "rep").join(classes.select("rep", "embedding"), "rep").select("key", "rep", "embedding")
-    stars = rows_of.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(limit), "a long, b long")
+    stars = rows_of.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_stars(limit)), "a long, b long")
     grouped = materialize(components(stars.distinct()), "grouped")
 
     sized = materialize(grouped.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "sized")
     inside = grouped.withColumnRenamed("node", "rep").join(sized, "component").join(classes.select("rep", "copies", "embedding"), "rep")
     inside = inside.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     inside = inside.select(F.xxhash64("component", cell).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "embedding", (F.col("own") != F.col("other")).alias("mixed"))
-    counted = inside.repartition("key").sortWithinPartitions("key").mapInArrow(_counted(limit), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    counted = inside.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_counted(limit)), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
     known = classes.select("h", "rep", "copies").join(counted, "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
     known = materialize(known.select("h", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("fine")), "known")

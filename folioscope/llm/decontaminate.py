@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import lean, table
 from .wordhash import Words, buffers
 
 WINDOW = 10
@@ -326,10 +326,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text_c
         some = named if rounds == 1 else named.where(F.pmod(F.xxhash64("i"), F.lit(rounds)) == r)
         phrases, last = Phrases(sorted(map(tuple, some.collect())), window), r == rounds - 1
         if last:
-            texts = texts.mapInArrow(_search(phrases, spans, pa.schema(fields)), kind)
+            texts = texts.mapInArrow(lean(_search(phrases, spans, pa.schema(fields))), kind)
         else:
             carried = pa.schema([("key", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            texts = texts.mapInArrow(_search(phrases, False, carried, False), "key long, text string, hits array<long>, items array<string>")
+            texts = texts.mapInArrow(lean(_search(phrases, False, carried, False)), "key long, text string, hits array<long>, items array<string>")
     return texts.withColumnRenamed("key", key)
 
 
@@ -357,7 +357,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, tex
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not e for e in empty]))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

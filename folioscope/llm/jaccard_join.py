@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import bucketed, components, materialize, table
+from .stages import bucketed, components, lean, materialize, table
 from .wordhash import Shingler, Words, mix
 
 SPACES = {32, 9, 10, 11, 12, 13}
@@ -386,7 +386,7 @@ def _overlaps(limit: float):
 
 
 def _compare(rows: DataFrame, num: int, den: int, limit: float) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(_overlaps(limit)(num, den), "a long, b long, d double, links boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(lean(_overlaps(limit)(num, den)), "a long, b long, d double, links boolean")
 
 
 def _with_items(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
@@ -418,8 +418,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = materialize(texts.mapInArrow(_scan(size), "doc_id long, n long, f1 long, f2 long, mins array<long>, chunk int, counts binary"), "scan")
-    added = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_added, "chunk int, counts binary")
+    scan = materialize(texts.mapInArrow(lean(_scan(size)), "doc_id long, n long, f1 long, f2 long, mins array<long>, chunk int, counts binary"), "scan")
+    added = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(_added), "chunk int, counts binary")
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for chunk, packed in added.collect():  # BUCKETS / CHUNK rows of CHUNK counts
         counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(packed)), dtype=np.int64)
@@ -435,7 +435,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tried = materialize(tried.where(F.col("agree") >= AGREE).select("a", "b"), "tried")
     wanted = _bits(tried.select("a").union(tried.select("b")), "a")
 
-    kept = materialize(texts.select("text").mapInArrow(_emit(size, num, den, counts, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary"), "kept")
+    kept = materialize(texts.select("text").mapInArrow(lean(_emit(size, num, den, counts, wanted)), "f1 long, n long, prefix array<long>, bins binary, items binary"), "kept")
     sets = bucketed(kept.where("items is not null").select("f1", "items").groupBy("f1").agg(F.first("items").alias("items")), "f1", "sets")
     near = materialize(_verify(tried, [sets], num, den, 1 - num / den), "near").where("links")
     roots = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
@@ -448,11 +448,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     prefixes = materialize(prefixes.unionByName(members.select(F.coalesce("leader", "f1").alias("c"), "n", "prefix")), "prefixes")
     # tokens of one class alone, most by far, are only counted, by parts of token and class
     chunks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owned = prefixes.mapInArrow(_owned(chunks), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
-    shared = materialize(owned.mapInArrow(_counted, "token long, m long"), "shared")
+    owned = prefixes.mapInArrow(lean(_owned(chunks)), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
+    shared = materialize(owned.mapInArrow(lean(_counted), "token long, m long"), "shared")
     long = shared.where(F.col("m") > CELL)
     passes = _shared(_bits(shared, "token", TOKEN_BITS), _bits(long, "token"))
-    posted = prefixes.mapInArrow(passes, "token long, c long, n long, r long, hot boolean").groupBy("token", "c", "n", "hot").agg(F.max("r").alias("r"))
+    posted = prefixes.mapInArrow(lean(passes), "token long, c long, n long, r long, hot boolean").groupBy("token", "c", "n", "hot").agg(F.max("r").alias("r"))
     posted = materialize(posted, "posted")
     # a list longer than a cell is cut, and every two of its cells meet
     long = long.select(F.col("token").alias("low"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
@@ -460,7 +460,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     entries = entries.withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     entries = entries.select("token", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).cast("long").alias("cell"), "c", "n", "r")
     entries = entries.unionByName(posted.where("not hot").select("token", F.lit(0).cast("long").alias("cell"), "c", "n", "r"))
-    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(_lists(num, den), "a long, b long")
+    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(lean(_lists(num, den)), "a long, b long")
     far = 1 - num / den
     radius = led.groupBy(F.col("leader").alias("l")).agg(F.max("d").alias("radius"))
     bins = materialize(kept.where("bins is not null").groupBy("f1").agg(F.first("n").alias("n"), F.first("bins").alias("bins")).join(radius, F.col("f1") == radius.l, "left").select("f1", "n", "bins", F.coalesce("radius", F.lit(0.0)).alias("radius")), "bins")
@@ -468,7 +468,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     met = met.join(bins.select(F.col("f1").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"), F.col("radius").alias("ra")), "a")
     met = met.join(bins.select(F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"), F.col("radius").alias("rb")), "b")
     met = met.select("a", "b", (far + F.col("ra") + F.col("rb")).alias("limit"), "na", "nb", "xa", "xb")
-    met = materialize(met.mapInArrow(_bounded, "a long, b long"), "met")
+    met = materialize(met.mapInArrow(lean(_bounded), "a long, b long"), "met")
 
     # exact distances between leaders; up to three limits apart their members may link
     have = [sets]
@@ -476,7 +476,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     more = ids.join(sets.select(F.col("f1").alias("a")), "a", "left_anti")
     wanted = _bits(more, "a")
     if wanted.any():
-        extra = texts.select("text").mapInArrow(_emit(size, num, den, None, wanted), "f1 long, n long, prefix array<long>, bins binary, items binary")
+        extra = texts.select("text").mapInArrow(lean(_emit(size, num, den, None, wanted)), "f1 long, n long, prefix array<long>, bins binary, items binary")
         extra = extra.select("f1", "items").join(sets.select("f1"), "f1", "left_anti").groupBy("f1").agg(F.first("items").alias("items"))
         have.append(bucketed(extra, "f1", "more"))
     pairs = materialize(_verify(met, have, num, den, 3 * far), "pairs")

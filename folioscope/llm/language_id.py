@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stages import materialize, table
+from .stages import lean, materialize, table
 from .wordhash import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -117,7 +117,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """
     names = ["kind", "id", "host", "site", "suffix", "declared", "segment"]
     kind = "kind string, id long, host string, site string, suffix string, declared string, segment string, ll array<double>, letters long"
-    scored = materialize(rows.select(*names, "text").mapInArrow(_scored(model, names), kind), "scored")
+    scored = materialize(rows.select(*names, "text").mapInArrow(lean(_scored(model, names)), kind), "scored")
     known = scored.where("letters > 0").withColumn("best", _best(F.col("ll")))
     hosts = known.groupBy("kind", "suffix", "site", "host", "best").agg(F.count("*").alias("n"))
     hosts = materialize(hosts, "hosts")

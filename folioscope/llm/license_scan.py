@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import lean, table
 from .wordhash import Words, mix, slices
 
 # Customary notices and well-known sentences of each family.
@@ -209,7 +209,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     columns are ignored; an empty table gives no rows.
     """
     kind = "doc_id long, n_paragraphs long, found array<struct<line:int,family:string,p:double,agreement:double>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(model), kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_scan(model)), kind)
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

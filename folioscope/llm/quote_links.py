@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import materialize, table
+from .stages import lean, materialize, table
 
 _QUOTED = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$")
 _INTRO = re.compile(r"^.{1,200}\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
@@ -77,7 +77,7 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     """
     rows = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
     kind = "conv_id long, turn long, role string, body string, own array<string>, quoted array<string>, depth int"
-    parsed = materialize(rows.mapInArrow(_parsed, kind), "messages")
+    parsed = materialize(rows.mapInArrow(lean(_parsed), kind), "messages")
     quoted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("s")).select("conv_id", "turn", F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g")).distinct()
     quoted = materialize(quoted, "quoted")
     asked = quoted.select("conv_id").distinct()

@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch; executors hold a few for each task.
+BATCH = 8 << 20
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, in batches of bounded bytes; when its task ends, the
+    worker, which waits for other work, gives back what its allocators hold."""
+    spark = SparkSession.getActiveSession()
+    now = spark and spark.conf.get(ARROW_BATCH, None)
+    if now and int(now.removesuffix("b")) > BATCH:
+        spark.conf.set(ARROW_BATCH, f"{BATCH}b")
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return leaner
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; only where none is set (tests), a new one."""
     sc = spark.sparkContext

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import lean, table
 
 #: Characters after its end that decide where a pre-token ends, and one to spare.
 CONTEXT = 3
@@ -215,7 +215,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, edits=EDITS, id_col:
     are ignored; an empty table gives no rows.
     """
     kind = "doc_id long, tokens_before long, n_edits long, tokens_after long, pieces_encoded long, chars_after long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_run(path, pattern, edits), kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_run(path, pattern, edits)), kind)
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:

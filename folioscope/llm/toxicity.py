@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import lean, table
 from .wordhash import Words, slices
 
 #: Labelled rows to train on at most: those with the smallest hashed ids.
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     top = seen.withColumn("o", odds).where(F.col("o") > 1.5).orderBy(F.desc(F.col("o") * F.sqrt("a")), "w").limit(LEARNED)
     learned = [r["w"] for r in top.collect()]
     # at most SAMPLE rows of numbers come to the driver, no texts
-    got = sorted(map(tuple, rows.select("h", "y", "text").mapInArrow(_described(learned), "h long, y int, x array<double>").collect()))
+    got = sorted(map(tuple, rows.select("h", "y", "text").mapInArrow(lean(_described(learned)), "h long, y int, x array<double>").collect()))
     x = np.array([r[2] for r in got], dtype=np.float64).reshape(len(got), len(FEATURES))
     return ToxicityModel(x, np.array([r[1] for r in got], dtype=np.float64), learned)
 
@@ -232,7 +232,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     not held out).  Without both labels among the training rows every score is the prior.
     Other columns are ignored; an empty table gives no rows.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scored(model)), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -245,7 +245,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             if batch.num_rows:
                 yield batch.filter(pa.array(model.score(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
