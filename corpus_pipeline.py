@@ -35,7 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and digests of them and of what they decode to."""
-    return bpe_codec.bpe_roundtrip(docs, bpe_codec.vocabulary(), keep_ids=True).drop("decoded")
+    return bpe_codec.bpe_roundtrip(docs, bpe_codec.vocabulary(), keep_ids=True, keep_text=False)
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("jaccard_join", copies), ("decontaminate", benchmark), ("bpe_codec", tokens)]

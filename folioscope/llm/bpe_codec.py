@@ -186,9 +186,9 @@ def _loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _batches(path: str, keep_ids: bool):
+def _batches(path: str, keep_ids: bool, keep_text: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * keep_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids + [("decoded", pa.string())] * keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path)
@@ -197,7 +197,7 @@ def _batches(path: str, keep_ids: bool):
             i = 0
             while i < batch.num_rows:
                 j, size, some = i, 0, []
-                while j < batch.num_rows and (j == i or size < 4 << 20):
+                while j < batch.num_rows and (j == i or size < 1 << 20):
                     some.append(texts[j].as_py() or "")
                     size += len(some[-1])
                     j += 1
@@ -205,7 +205,7 @@ def _batches(path: str, keep_ids: bool):
                 for got in bpe.encode(some):
                     text = bpe.decode(got)
                     row = (len(got), hashlib.sha256(got.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-                    rows.append(row + (got.astype(np.int32), text) * keep_ids)
+                    rows.append(row + (got.astype(np.int32),) * keep_ids + (text,) * keep_text)
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [f.type for f in schema][1:], strict=True)]
                 yield pa.record_batch([ids.slice(i, j - i), *columns], schema=schema)
                 i = j
@@ -214,14 +214,16 @@ def _batches(path: str, keep_ids: bool):
     return run
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Token ids of every whole text and what they decode to, as digests or in full.
+def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool | None = None) -> DataFrame:
+    """Token ids of every whole text and what they decode to, as digests or in full
+    (the text too, unless ``keep_text`` is false).
 
     A null text counts as empty: no tokens, and the digests of nothing.  Rows with equal
     or null ids stay separate; other columns are ignored; an empty table gives no rows.
     """
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_batches(path, keep_ids)), kind)
+    keep_text = keep_ids if keep_text is None else keep_text
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_batches(path, keep_ids, keep_text)), kind)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -25,7 +25,7 @@ from .wordhash import Words, buffers
 WINDOW = 10
 SAMPLE = 8
 #: Bytes of text indexed at once; a longer text is a shard of its own.
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: Words of benchmark text whose phrases are sent to every task; more go in several rounds.
 PHRASE_WORDS = 2_000_000
 SEPARATORS = {b for b in range(128) if not chr(b).isalnum()}

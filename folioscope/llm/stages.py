@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch; executors hold a few for each task.
-BATCH = 8 << 20
+BATCH = 4 << 20
 ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
