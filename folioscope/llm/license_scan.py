@@ -32,7 +32,7 @@ NOTICES = {
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Published under CC BY-NC 3.0."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Published under CC BY-SA 3.0."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
-    "proprietary": ("All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "This document is proprietary and confidential.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
+    "proprietary": ("All rights reserved.", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "This document is proprietary and confidential.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
 FAMILIES = (*NOTICES, "unknown")
 TABLE = 1 << 16
@@ -132,7 +132,11 @@ class LicenseModel:
         return out
 
     def confirmed(self, text: str, family: str) -> float:
-        """Largest share of word pairs in common with a notice, of the smaller side with three pairs or more."""
+        """Largest share of word pairs in common with a notice, of the smaller side with three pairs or more.
+
+        Only a notice that is shorter itself is confirmed by fewer pairs, and by all of its own:
+        a short paragraph is no proof, as two words of a notice ("this work") are said anywhere.
+        """
         a = self._list(text)
         mine = set(zip(a, a[1:], strict=False)) or set(zip(a, strict=True))
         best = 0.0

@@ -204,6 +204,13 @@ def test_fitted_models(docs, empty, spark):
     assert [[f.family for f in r.found] for r in got] == [["apache-2.0"], ["mit"], [], [], []] and got[0].found[0].line == 1
 
 
+def test_short_notice(spark):
+    lic = license_scan.LicenseModel(["The river ran past the old mill and the town.", "We met at the station before noon.", "This work took all of the summer."] * 70)
+    text = ["All rights reserved.", "Intro line.\nALL RIGHTS RESERVED\nMore.", "Copyright 2020 Example Press. All rights reserved.", "All rights.", "This document", "This work is", "To the.", "All of us reserved seats and the rights of way."]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), lic).orderBy("doc_id").collect()
+    assert [[f.family for f in r.found] for r in got] == [["proprietary"]] * 3 + [[]] * 5 and got[1].found[0].line == 1
+
+
 def test_quotes(spark):
     rows = [(1, 0, "u", "Hello there. How are you?"), (1, 1, "a", "On Monday A wrote:\n> Hello there.\n> How are you?\n\nFine."), (1, 2, "u", ">> Hello there.\n> Fine.\nGood!"), (1, 3, "u", None), (None, None, None, "> x")]
     got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
