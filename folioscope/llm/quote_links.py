@@ -3,7 +3,8 @@
 Each message is cut into its own text and its quoted passages by level (leading ``>``
 signs, blanks between allowed; attribution lines right before a quotation go with it).
 Normalised quoted sentences are hashed and joined with the hashes of what earlier
-messages of the conversation say themselves; the message with most hits is the parent.
+messages of the conversation say themselves; of those with hits at the outermost level that
+has any, the message with most is the parent.
 """
 
 from __future__ import annotations
@@ -53,13 +54,16 @@ def sentences(text: str) -> list[str]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("own", pa.list_(pa.string())), ("quoted", pa.list_(pa.string())), ("depth", pa.int32())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("own", pa.list_(pa.string())), ("quoted", pa.list_(pa.struct([("s", pa.string()), ("level", pa.int32())]))), ("depth", pa.int32())])
     for batch in batches:
         rows = []
         for value in batch.column(3):
             body, quotes = parse(value.as_py() or "")
-            quoted = list(dict.fromkeys(s for _, q in quotes for s in sentences(q)))
-            rows.append((body, sentences(body), quoted, max([0, *(n for n, _ in quotes)])))
+            quoted: dict[str, int] = {}
+            for n, q in quotes:
+                for s in sentences(q):
+                    quoted[s] = min(n, quoted.get(s, n))
+            rows.append((body, sentences(body), [{"s": s, "level": n} for s, n in quoted.items()], max([0, *(n for n, _ in quotes)])))
         if rows:
             more = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *more], schema=schema)
@@ -69,23 +73,25 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     """(conv_id, turn, role, body, quote_depth, n_quoted, n_linked, reply_to, thread) of every message.
 
     ``reply_to`` is the turn of the earlier message of the conversation that most of the
-    quoted sentences come from (ties: the latest); a sentence comes from the first message
-    that says it unquoted.  ``thread`` is the turn to sort a reply by: conversations read
+    sentences quoted at level 1 come from (ties: the latest); deeper levels, the history that
+    the parent quotes itself, count only where no level above links.  A sentence comes from
+    the first message that says it unquoted, and has the lowest level it is quoted at.  ``thread`` is the turn to sort a reply by: conversations read
     in order of (conv_id, thread, turn).  Null texts count as empty; messages with a null
     conversation or turn link with nothing; rows that repeat (conv_id, turn) share their
     links; other columns are ignored; an empty table gives no rows.
     """
     rows = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
-    kind = "conv_id long, turn long, role string, body string, own array<string>, quoted array<string>, depth int"
+    kind = "conv_id long, turn long, role string, body string, own array<string>, quoted array<struct<s:string,level:int>>, depth int"
     parsed = materialize(rows.mapInArrow(lean(_parsed), kind), "messages")
-    quoted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("s")).select("conv_id", "turn", F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g")).distinct()
+    quoted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.inline("quoted"))
+    quoted = quoted.groupBy("conv_id", "turn", F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g")).agg(F.min("level").alias("level"))
     quoted = materialize(quoted, "quoted")
     asked = quoted.select("conv_id").distinct()
     said = parsed.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode("own").alias("s"))
     said = said.groupBy("conv_id", F.xxhash64("s").alias("h"), F.xxhash64(F.reverse("s")).alias("g")).agg(F.min("turn").alias("first"))
     said = materialize(said, "said")
-    hits = quoted.join(said, ["conv_id", "h", "g"]).where("first < turn").groupBy("conv_id", "turn", "first").agg(F.count("*").alias("n"))
-    best = hits.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.struct("n", "first")).getField("first").alias("reply_to"))
+    hits = quoted.join(said, ["conv_id", "h", "g"]).where("first < turn").groupBy("conv_id", "turn", "level", "first").agg(F.count("*").alias("n"))
+    best = hits.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.struct(-F.col("level"), "n", "first")).getField("first").alias("reply_to"))
     best = materialize(best, "best")
     out = parsed.join(best, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "body", F.col("depth").alias("quote_depth"), F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to", F.coalesce("reply_to", "turn").alias("thread"))

@@ -217,6 +217,14 @@ def test_quotes(spark):
     assert [(r.turn, r.body, r.reply_to) for r in got] == [(None, "", None), (0, "Hello there. How are you?", None), (1, "Fine.", 0), (2, "Good!", 1), (3, "", None)]
 
 
+def test_quoted_history(spark):
+    """A longer nested history doesn't outweigh the message that is answered; alone, it links."""
+    rows = [(1, 0, "A1. A2. A3."), (1, 1, "> A1. A2. A3.\nB1."), (1, 2, ">> A1. A2. A3.\n> B1.\nC."), (1, 3, "> said elsewhere.\n>> B1.\n>>> A1. A2. A3.\nD.")]
+    rows += [(2, 0, "A1. A2."), (2, 1, "B1. B2."), (2, 2, ">> A1. A2.\n> A1. B1. B2.\nC.")]
+    got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("conv_id", "turn", "'u' as role", "text")).orderBy("conv_id", "turn").collect()
+    assert [(r.reply_to, r.n_quoted, r.n_linked, r.quote_depth) for r in got] == [(None, 0, 0, 0), (0, 3, 3, 1), (1, 4, 4, 2), (1, 5, 4, 3), (None, 0, 0, 0), (None, 0, 0, 0), (1, 4, 4, 2)]
+
+
 def test_arrow_slices():
     from folioscope.llm.wordhash import Shingler, Words
 
