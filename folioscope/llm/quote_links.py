@@ -4,7 +4,8 @@ Each message is cut into its own text and its quoted passages by level (leading
 signs, blanks between allowed; attribution lines right before a quotation go with it).
 Normalised quoted sentences are hashed and joined with the hashes of what earlier
 messages of the conversation say themselves; of those with hits at the outermost level that
-has any, the message with most is the parent.
+has any, the message with most is the parent.  Parents are followed up to the message that opens
+the thread; conversations are the messages' own texts in the order of these reply paths.
 """
 
 from __future__ import annotations
@@ -69,14 +70,30 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *more], schema=schema)
 
 
+def reply_paths(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, path) of links (conv_id, turn, reply_to): the turns from the thread's first to ``turn``.
+
+    Every round doubles the steps that a path covers.  Parents are earlier turns, so there are
+    no cycles.  A chain of n replies holds n * n / 2 turns in all.
+    """
+    now = links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.array("turn").alias("path"))
+    while not now.where("up is not null").isEmpty():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        now = now.join(above, ["conv_id", "up"], "left")
+        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("head", F.array("up")), "path"))
+        now = materialize(now.select("conv_id", "turn", F.col("next").alias("up"), path.alias("path")), "paths")
+    return now.select("conv_id", "turn", "path")
+
+
 def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, body, quote_depth, n_quoted, n_linked, reply_to, thread) of every message.
+    """(conv_id, turn, role, body, quote_depth, n_quoted, n_linked, reply_to, thread, path) of every message.
 
     ``reply_to`` is the turn of the earlier message of the conversation that most of the
     sentences quoted at level 1 come from (ties: the latest); deeper levels, the history that
     the parent quotes itself, count only where no level above links.  A sentence comes from
-    the first message that says it unquoted, and has the lowest level it is quoted at.  ``thread`` is the turn to sort a reply by: conversations read
-    in order of (conv_id, thread, turn).  Null texts count as empty; messages with a null
+    the first message that says it unquoted, and has the lowest level it is quoted at.  ``path`` has
+    the turns from the one that opens the thread, ``thread``, down to the message: in order of
+    (conv_id, path) each reply stands below what it answers.  Null texts count as empty; messages with a null
     conversation or turn link with nothing; rows that repeat (conv_id, turn) share their
     links; other columns are ignored; an empty table gives no rows.
     """
@@ -93,12 +110,18 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     hits = quoted.join(said, ["conv_id", "h", "g"]).where("first < turn").groupBy("conv_id", "turn", "level", "first").agg(F.count("*").alias("n"))
     best = hits.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.struct(-F.col("level"), "n", "first")).getField("first").alias("reply_to"))
     best = materialize(best, "best")
-    out = parsed.join(best, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "body", F.col("depth").alias("quote_depth"), F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to", F.coalesce("reply_to", "turn").alias("thread"))
+    best = best.join(reply_paths(best), ["conv_id", "turn"])
+    out = parsed.join(best, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.when(F.col("turn").isNotNull(), F.array("turn"))))
+    return out.select("conv_id", "turn", "role", "body", F.col("depth").alias("quote_depth"), F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to", F.get("path", F.lit(0)).alias("thread"), "path")
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """The messages of ``link_quotes`` as conversations: sorted by reply path, ``body`` without quotes."""
+    return linked.orderBy("conv_id", "path")
 
 
 def op9_quote_links(spark, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return conversations(link_quotes(table(spark, sf_dir, "conversations")))
 
 
 #: Line-wise parsing with state isn't expressed in SQL; tested against brute force.

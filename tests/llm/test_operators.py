@@ -225,6 +225,17 @@ def test_quoted_history(spark):
     assert [(r.reply_to, r.n_quoted, r.n_linked, r.quote_depth) for r in got] == [(None, 0, 0, 0), (0, 3, 3, 1), (1, 4, 4, 2), (1, 5, 4, 3), (None, 0, 0, 0), (None, 0, 0, 0), (1, 4, 4, 2)]
 
 
+def test_reply_order(spark):
+    """Replies of any depth stand below what they answer, whole threads by their first turn."""
+    rows = [(1, 0, "A."), (1, 1, "B."), (1, 2, "> A.\nC."), (1, 3, "> C.\nD."), (1, 4, "> B.\nE."), (1, 5, "> A.\nF."), (1, 6, "> D.\nG."), (1, 10, "> C.\nH.")]
+    rows += [(2, 0, "S0.")] + [(2, k, f"> S{k - 1}.\nS{k}.") for k in range(1, 20)] + [(None, 1, "x"), (3, None, "y"), (1, 10, "> C.\nH.")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("conv_id", "turn", "'u' as role", "text").repartition(3)
+    got = quote_links.conversations(quote_links.link_quotes(messages)).collect()
+    assert [(r.turn, r.thread, r.body) for r in got if r.conv_id == 1] == [(0, 0, "A."), (2, 0, "C."), (3, 0, "D."), (6, 0, "G."), (10, 0, "H."), (10, 0, "H."), (5, 0, "F."), (1, 1, "B."), (4, 1, "E.")]
+    assert [(r.turn, r.path) for r in got if r.conv_id == 2] == [(k, list(range(k + 1))) for k in range(20)]
+    assert [(r.turn, r.thread, r.path) for r in got if r.conv_id in (None, 3)] == [(1, 1, [1]), (None, None, None)]
+
+
 def test_arrow_slices():
     from folioscope.llm.wordhash import Shingler, Words
 
