@@ -35,7 +35,16 @@ def exact_lookup(spark, sf_dir: str) -> DataFrame:
 
 def reference_resolution(spark, sf_dir: str) -> DataFrame:
     """Facts joined to two dimensions, with a text where there is none."""
-    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").where("r_regionkey < 3")
+    return _resolved(spark, sf_dir, read(spark, sf_dir, "region").where("r_regionkey < 3"))
+
+
+def whole_references(spark, sf_dir: str) -> DataFrame:
+    """``reference_resolution`` against all regions; only keys that have no row get the text."""
+    return _resolved(spark, sf_dir, read(spark, sf_dir, "region"))
+
+
+def _resolved(spark, sf_dir: str, r: DataFrame) -> DataFrame:
+    n = read(spark, sf_dir, "nation")
     s = read(spark, sf_dir, "supplier")
     out = s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("s_suppkey", F.coalesce("n_name", F.lit("[context omitted]")).alias("context"), F.coalesce("r_name", F.lit("[unit omitted]")).alias("unit"))
@@ -45,7 +54,17 @@ def known_edges(spark, sf_dir: str) -> DataFrame:
     """Distinct undirected edges with both ends known, and each end's degree as a target."""
     li = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 97).alias("a"), (F.col("l_suppkey") % 89).alias("b"))
     known = read(spark, sf_dir, "part").where("p_partkey < 80").select(F.col("p_partkey").alias("k"))
-    edges = li.join(known, li.a == known.k, "left_semi").join(known, F.col("b") == F.col("k"), "left_semi")
+    return _degrees(li, known, known)
+
+
+def whole_edges(spark, sf_dir: str) -> DataFrame:
+    """``known_edges`` over whole keys: all parts and suppliers are known, and only ends without a row are dropped."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return _degrees(li, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
+
+
+def _degrees(ends: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    edges = ends.join(sources, ends.a == sources.k, "left_semi").join(targets, F.col("b") == F.col("k"), "left_semi")
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return edges.groupBy("b").agg(F.count("*").alias("in_degree"), F.min("a").alias("least_source"))
 
@@ -176,7 +195,7 @@ def numeric_columns(spark, sf_dir: str) -> DataFrame:
     return cells.groupBy("name").agg(F.bool_and(F.coalesce(F.col("v"), F.lit("")).rlike(number) | (F.trim(F.coalesce("v", F.lit(""))) == "")).alias("is_numeric"), F.count("*").alias("cells"))
 
 
-NAMES = ("conditional_aggregates", "exact_lookup", "reference_resolution", "known_edges", "cell_in_range", "conditional_rules", "colour_scale", "scalar_functions", "even_sample", "sample_quotas", "natural_order", "last_wins", "break_segments", "budget_cutoff", "json_leaves", "html_blocks", "markdown_rows", "redaction", "turn_numbers", "numeric_columns")
+NAMES = ("conditional_aggregates", "exact_lookup", "reference_resolution", "whole_references", "known_edges", "whole_edges", "cell_in_range", "conditional_rules", "colour_scale", "scalar_functions", "even_sample", "sample_quotas", "natural_order", "last_wins", "break_segments", "budget_cutoff", "json_leaves", "html_blocks", "markdown_rows", "redaction", "turn_numbers", "numeric_columns")
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {
     "conditional_aggregates": """SELECT p_brand, count(*) FILTER (WHERE p_size >= 25) AS countif, count(*) FILTER (WHERE p_size >= 25 AND lower(p_type) LIKE '%e%') AS countifs,
@@ -186,6 +205,9 @@ ORACLES = {
     "reference_resolution": "SELECT s_suppkey, coalesce(n_name, '[context omitted]') AS context, coalesce(r_name, '[unit omitted]') AS unit FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey",
     "known_edges": """WITH e AS (SELECT l_partkey % 97 AS a, l_suppkey % 89 AS b FROM lineitem), k AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 80),
 d AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b AND a IN (SELECT k FROM k) AND b IN (SELECT k FROM k)) SELECT b, count(*) AS in_degree, min(a) AS least_source FROM d GROUP BY b""",
+    "whole_references": "SELECT s_suppkey, coalesce(n_name, '[context omitted]') AS context, coalesce(r_name, '[unit omitted]') AS unit FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
+    "whole_edges": """WITH d AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey
+  AND l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier)) SELECT b, count(*) AS in_degree, min(a) AS least_source FROM d GROUP BY b""",
     "cell_in_range": """WITH r(range_name, r1, r2, c1, c2) AS (VALUES ('head', 0, 4, 1, 50), ('left', 0, 99, 1, 5), ('box', 40, 60, 20, 30))
 SELECT range_name, count(*) AS cells, sum(p_partkey)::BIGINT AS keys FROM part JOIN r ON p_partkey % 100 BETWEEN r1 AND r2 AND p_size BETWEEN c1 AND c2 GROUP BY range_name""",
     "conditional_rules": """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'negative' ELSE array_to_string(list_filter([CASE WHEN c_acctbal BETWEEN 0 AND 100 THEN 'low' END, CASE WHEN c_acctbal > 5000 THEN 'high' END,
