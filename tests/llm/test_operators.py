@@ -204,6 +204,17 @@ def test_fitted_models(docs, empty, spark):
     assert [[f.family for f in r.found] for r in got] == [["apache-2.0"], ["mit"], [], [], []] and got[0].found[0].line == 1
 
 
+def test_foreign_sentences(spark):
+    """Other languages in the same letters are rejected, ordinary sentences of the four are not."""
+    sf = "/root/testdata/sf0.01"
+    own = ["She opened the window because the room was too warm.", "Water boils at a lower temperature in the mountains.", "Nobody knew why the lights had gone out so early.", "Mein Bruder hat letztes Wochenende auf dem Markt ein altes Fahrrad gekauft.", "Niemand wusste, warum das Licht so früh ausgegangen war."]
+    own += ["Le comité se réunira de nouveau jeudi pour discuter du budget de l'année prochaine.", "L'eau bout à une température plus basse en montagne.", "El comité se reunirá de nuevo el jueves para discutir el presupuesto del próximo año.", "Los niños deberían aprender a nadar antes de ir al mar."]
+    others = ["Il comitato si riunirà di nuovo giovedì per discutere il bilancio del prossimo anno.", "Hän avasi ikkunan, koska huoneessa oli liian kuuma.", "Oda çok sıcak olduğu için pencereyi açtı.", "Otworzyła okno, ponieważ w pokoju było za gorąco.", "Utskottet sammanträder igen på torsdag för att diskutera nästa års budget."]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(own + others)], "doc_id long, text string, source string")
+    got = language_id.identify(language_id.document_rows(docs), language_id.fit(spark.read.parquet(f"{sf}/documents.parquet"))).orderBy("id").collect()
+    assert [r.rejected for r in got] == [False] * len(own) + [True] * len(others)
+
+
 def test_short_notice(spark):
     lic = license_scan.LicenseModel(["The river ran past the old mill and the town.", "We met at the station before noon.", "This work took all of the summer."] * 70)
     text = ["All rights reserved.", "Intro line.\nALL RIGHTS RESERVED\nMore.", "Copyright 2020 Example Press. All rights reserved.", "All rights.", "This document", "This work is", "To the.", "All of us reserved seats and the rights of way."]
