@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import bucketed, components, lean, materialize, table
+from .stages import ROW, bucketed, components, lean, materialize, numbered, table, without
 from .wordhash import Shingler, Words, mix
 
 SPACES = {32, 9, 10, 11, 12, 13}
@@ -511,10 +511,14 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row id of each group of linked texts: the smallest."""
-    found = jaccard_classes(docs, size, num, den).where("doc_id <> component_id")
-    gone = materialize(found.select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """``docs`` with one row of each group of linked texts: one of the smallest id, null ids last."""
+    rows = numbered(docs)
+    found = jaccard_classes(rows, size, num, den, id_col=ROW).where("doc_id <> component_id").select(F.col("doc_id").alias(ROW), "component_id")
+    linked = materialize(found.unionByName(found.select(F.col("component_id").alias(ROW), "component_id").distinct()), "linked")
+    named = materialize(linked.join(rows.select(ROW, "doc_id"), ROW), "named")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW).alias("kept"))
+    gone = named.join(kept, "component_id").where(F.col(ROW) != F.col("kept")).select(F.col(ROW).alias("gone"))
+    return without(rows, materialize(gone, "copies"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stages import lean, materialize, table
+from .stages import ROW, lean, materialize, numbered, table, without
 from .wordhash import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -182,13 +182,13 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def drop_foreign(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id ``identify`` rejects; rows with a null id stay.
+    """``docs`` without the rows that ``identify`` rejects, whatever their ids.
 
-    What is joined is the list of rejected ids alone, of a size that Spark knows.
+    What is joined is the list of rejected rows alone, of a size that Spark knows.
     """
-    found = identify(document_rows(docs), fit(docs)).where("rejected and id is not null")
-    gone = materialize(found.select(F.col("id").alias("gone")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    rows = numbered(docs)
+    found = identify(document_rows(rows.withColumn("doc_id", F.col(ROW))), fit(docs)).where("rejected")
+    return without(rows, materialize(found.select(F.col("id").alias("gone")), "rejected"))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

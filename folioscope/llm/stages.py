@@ -58,6 +58,20 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Names a row of a ``numbered`` table, whatever its ids.
+ROW = "_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df``, written with a key of its own in each row."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The ``numbered`` rows whose keys aren't in ``gone`` (gone), without the key."""
+    return rows.join(gone, rows[ROW] == gone["gone"], "left_anti").drop(ROW)
+
+
 def bucketed(df: DataFrame, key: str, name: str = "t") -> DataFrame:
     """Like ``materialize``, filed by ``key``, so joins on it don't move the table again."""
     spark = df.sparkSession

@@ -83,6 +83,23 @@ def test_jaccard_awkward(docs, empty):
     assert jaccard_join.jaccard_classes(empty).collect() == []
 
 
+def test_copies_by_row(spark):
+    """One row of each group stays, and no text goes because another row has its id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(5, a), (3, a), (3, b), (9, c), (9, c), (None, d), (None, d), (None, e), (2, e), (7, None), (7, None), (1, a + " more")]
+    got = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, a + " more"), (3, b), (9, c), (None, d), (2, e), (7, None), (7, None)], key=repr)
+
+
+def test_language_by_row(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").limit(600)
+    text = corpus.where("length(text) > 200").first().text
+    odd = spark.createDataFrame([(-1, text, "en", "s"), (-1, "%%% $$$", "en", "s"), (None, "12 34", "en", "s"), (None, text, "en", "s")], corpus.schema)
+    got = language_id.drop_foreign(corpus.unionByName(odd)).where("doc_id is null or doc_id < 0")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(-1, text), (0, text)]
+
+
 def test_decontaminate(docs, empty, spark):
     rx = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
     items = spark.createDataFrame([(1, "quick BROWN fox, jumps over the lazy dog again and again"), (2, "lazy dog"), (3, ""), (4, None), (None, "word1 and word2 and word3")], "item_id long, text string")
