@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stages import ROW, lean, materialize, numbered, table, without
+from .stages import ROW, lean, materialize, numbered, sampled, table, without
 from .wordhash import slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 CLASSES = (*LANGUAGES, "und")
 TABLE = 1 << 16
-#: Rows of the training sample for each language, and characters of a row of it at most.
-SAMPLE, SAMPLE_CHARS = 200, 5_000
+#: Rows of the training sample for each language, whole texts of any length.
+SAMPLE = 200
 #: Trigrams count as independent evidence up to this many; more only sharpen the mean.
 WEIGHT = 60.0
 #: Strength of the smoothing towards the level above.
@@ -43,14 +43,32 @@ def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((low[:-2] * 0x9E37 + low[1:-1] * 0x79B9 + low[2:] * 0x7F4B) ^ (low[1:-1] << 7) ^ (low[2:] << 3)) & (TABLE - 1), letter[1:-1]
 
 
+def _padded(piece: np.ndarray, first: bool, last: bool) -> np.ndarray:
+    return np.concatenate(([32] if first else [], piece, [32] if last else [])).astype(np.uint8)
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (language, text) to (language, code, n): trigrams centred on a letter, counted over the task's rows."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
+            table = counts.setdefault(lang.as_py(), np.zeros(TABLE, dtype=np.int64))
+            for at in range(0, len(data), 1 << 20):  # a long text comes in parts
+                code, letter = _codes(_padded(data[max(0, at - 1) : at + (1 << 20) + 1], at == 0, at + (1 << 20) >= len(data)))
+                table += np.bincount(code[letter], minlength=TABLE)
+    for lang, table in counts.items():
+        some = np.flatnonzero(table)
+        yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(table[some])], names=["lang", "code", "n"])
+
+
 class TextModel:
-    def __init__(self, samples: dict[str, list[str]]):
+    """Trigram models from counts of (language, code); letters in any number of texts."""
+
+    def __init__(self, found: list[tuple[str, int, int]]):
         counts = np.zeros((len(CLASSES), TABLE))
-        for k, c in enumerate(LANGUAGES):
-            for text in samples.get(c, []):
-                data = np.frombuffer((" " + text + " ").encode("utf-8", "replace"), dtype=np.uint8)
-                code, letter = _codes(data)
-                np.add.at(counts[k], code[letter], 1)
+        for lang, code, n in found:
+            counts[LANGUAGES.index(lang), code] += n
         every = counts.sum(axis=0) + 0.5
         every /= every.sum()
         total = counts.sum(axis=1, keepdims=True)
@@ -66,7 +84,7 @@ class TextModel:
             sums, letters = np.zeros((n, len(CLASSES))), np.zeros(n, dtype=np.int64)
             for at in range(0, max(1, len(data)), 1 << 20):  # a long text comes in parts
                 piece = data[max(0, at - 1) : at + (1 << 20) + 1]
-                padded = np.concatenate(([32] if at == 0 else [], piece, [32] if at + (1 << 20) >= len(data) else [])).astype(np.uint8)
+                padded = _padded(piece, at == 0, at + (1 << 20) >= len(data))
                 if len(padded) < 3:
                     continue
                 code, letter = _codes(padded)
@@ -99,9 +117,14 @@ def _scored(model: TextModel, names: list[str]):
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TextModel:
-    """Fits on SAMPLE rows of each language, those with the smallest hashed ids."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(6)).alias("h")).where(F.length("text").between(40, SAMPLE_CHARS))
-    return TextModel({c: [r["text"] for r in rows.where(F.col("lang") == c).orderBy("h", "text").limit(SAMPLE).collect()] for c in LANGUAGES})
+    """Fits on SAMPLE rows of each language, those with the smallest hashed ids.
+
+    Whole texts are counted where they lie; at most TABLE counts a language come to the driver.
+    """
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    some = sampled(rows, "id", "text", SAMPLE, "lang", LANGUAGES).select("lang", "text")
+    counted = some.mapInArrow(lean(_tables), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n"))
+    return TextModel(list(map(tuple, counted.collect())))
 
 
 def _best(ll: Column) -> Column:

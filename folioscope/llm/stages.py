@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 #: Bytes of an Arrow batch; executors hold a few for each task.
@@ -37,22 +40,62 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; only where none is set (tests), a new one."""
+    """The checkpoint folder of the cluster.
+
+    Where none is set, a new folder of this machine serves a session whose driver and
+    executor are one process (tests); on a cluster that is an error.
+    """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="folioscope-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this process has written and not yet removed, in order.
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place for an intermediate table, to be removed by ``discard`` or when the driver ends."""
+    if not _written:
+        atexit.register(_remove_all, spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _remove_all(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        discard(spark)
+
+
+def written() -> int:
+    """How many intermediate tables there are: a mark for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables written after the mark; what reads them must be done."""
+    for path in _written[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:]
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
     The lineage ends there, and a lost executor takes none of it along.  As Parquet it
     needs a fraction of the room of ``checkpoint()``'s rows.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -75,14 +118,37 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, key: str, name: str = "t") -> DataFrame:
     """Like ``materialize``, filed by ``key``, so joins on it don't move the table again."""
     spark = df.sparkSession
+    path = scratch_path(spark, name)
     name = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # out of the catalog; its files stay
     return out
 
 
+def sampled(rows: DataFrame, key: str, value: str, n: int, by: str | None = None, groups: tuple = (None,)) -> DataFrame:
+    """(by, h, value) of at most ``n`` distinct keys for each of a few named groups (or of all
+    rows): those with the smallest hashes, smallest value first where rows share a key.
+
+    A first pass over ``by`` and ``key`` alone estimates how many keys a group has; only rows
+    whose hash is below a bound that leaves about ``3 * n`` of them are moved and sorted, so
+    what is moved follows ``n``, neither the rows nor their partitions.
+    """
+    group, h = F.col(by) if by else F.lit(None).cast("string"), F.xxhash64(key, F.lit(6))
+    rows = rows.select(group.alias("g"), h.alias("h"), F.col(value).alias(value))
+    if by:
+        rows = rows.where(F.col("g").isin(*groups))
+    keys = dict(map(tuple, rows.groupBy("g").agg(F.approx_count_distinct("h", 0.02)).collect()))  # one row a group
+    bound = F.lit(None).cast("long")
+    for g in groups:
+        least = int(min(1.0, 3 * n / max(1, keys.get(g, 0))) * (1 << 64)) - (1 << 63)
+        bound = F.when(F.col("g").eqNullSafe(F.lit(g)), F.lit(min(least, (1 << 63) - 1))).otherwise(bound)
+    some = rows.where(F.col("h") <= bound).groupBy("g", "h").agg(F.min(value).alias(value))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("h"))  # about 3 * n rows a group
+    return some.withColumn("place", place).where(F.col("place") <= n).select(F.col("g").alias(by or "g"), "h", value)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
 
