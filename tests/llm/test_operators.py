@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import bpe_codec, cap_filters, decontaminate, jaccard_join, language_id, license_scan, quote_links, token_tree, toxicity, url_rules
+from folioscope.llm import bpe_codec, decontaminate, jaccard_join, language_id, license_scan, quote_links, token_tree, toxicity, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, h long, n int, id string, component long, a long"
 LONG = " ".join(f"word{i % 977} and" for i in range(120_000))
@@ -176,24 +176,6 @@ def test_token_tree_after_edits(docs, empty):
     assert token_tree.token_counts(empty, p.path("byte_bpe_50k.tiktoken"), p.PATTERN).collect() == []
 
 
-def test_vectors(spark):
-    r = np.random.default_rng(1)
-    base = r.standard_normal((20, 16))
-    rows = [(i, (base[i % 20] + 0.05 * r.standard_normal(16)).tolist(), int(i % 20 % 3)) for i in range(200)]
-    rows += [(300, rows[0][1], 0), (301, None, 1), (302, [0.0] * 16, 1), (303, [float("nan")] * 16, 1), (304, rows[1][1], None), (305, [1.0, None], 1), (306, [1.0, 2.0], 1), (306, [1.0, 2.0], 1)]
-    got = {r.vec_id: r for r in cap_filters.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    fine = [(i, np.array(np.float32(v), dtype=np.float64), c) for i, v, c in rows if v and None not in v and np.isfinite(v).all() and any(v) and c is not None]
-    true = {i: 0 for i, _, _ in rows}
-    for (i, v, a), (j, w, b) in itertools.combinations(fine, 2):
-        if a == b and len(v) == len(w) and v @ w / np.sqrt(v @ v * (w @ w)) >= 0.98:
-            true[i] += 1
-            true[j] += i != j
-    assert sum(got[i].n_links for i in true) >= 0.95 * sum(true.values())
-    assert all(got[i].n_links <= true[i] for i in true)
-    assert all(got[i].kept and not got[i].n_links for i in (301, 302, 303, 304, 305))
-    assert cap_filters.vector_classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
-
-
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?y", "https://www.example.com/en/", "http://com", "http://a.net/fr/b#c", "http://x.org/a?utm_source=q", "http://x.org/a?utm_source=feed", "http://x.org/ads/", "http://x.org/loads/", "http://m.free-bets.org/"]
     got = [r for r in url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
