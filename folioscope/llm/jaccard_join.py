@@ -32,16 +32,16 @@ from .stages import ROW, bucketed, components, lean, materialize, numbered, tabl
 from .wordhash import Shingler, Words, mix
 
 SPACES = {32, 9, 10, 11, 12, 13}
-#: Size of the token count table; its bound is what is broadcast.
-BUCKETS, CHUNK = 1 << 18, 1 << 12
+#: Least and largest size of the token count table (8 bytes each where it is used), and of a part of it that is sent.
+BUCKETS, MOST_BUCKETS, CHUNK = 1 << 18, 1 << 23, 1 << 12
 MINHASHES, AGREE = 6, 3
-#: Bits of the map of tokens that several classes have (8 MB); what passes it by chance is found alone later.
-TOKEN_BITS = 1 << 26
+#: Least and most bits of a map of ids; what passes it by chance is joined with the ids, or found alone later.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
 #: Tokens for each part of the token space; the parts' counts bound the overlap of two sets before they meet.
 PER_BIN, LEAST_BINS = 4, 64
-#: Members compared by one task with what comes near their leader.
+#: Sets of either side of a comparison of members, or of a hub's partners, in one task.
 MEMBERS = 256
 
 
@@ -60,11 +60,19 @@ def _print(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _scan(size: int):
+def _buckets(docs: DataFrame) -> int:
+    """Counters by the size of the input as the plan estimates it, if it does: 2 ** 18 up to some GB, then in proportion."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # a plan without figures
+        return BUCKETS
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (size >> 15).bit_length()))
+
+
+def _scan(size: int, buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("mins", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, counts = _shingler(size), np.zeros(BUCKETS, dtype=np.int64)
+        sh, counts = _shingler(size), np.zeros(buckets, dtype=np.int64)
         odd = np.array([2 * k + 1 for k in range(MINHASHES)], dtype=np.uint64)[:, None]
         for batch in batches:
             if not batch.num_rows:
@@ -76,14 +84,14 @@ def _scan(size: int):
                     a, b = _print(s)
                     f1.append(a)
                     f2.append(b)
-                    counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-                    if 0 < len(s) <= BUCKETS // 8:
-                        np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                    counts += np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) if len(s) > buckets // 8 else 0
+                    if 0 < len(s) <= buckets // 8:
+                        np.add.at(counts, (s & np.uint64(buckets - 1)).astype(np.int64), 1)
                     mins.append(mix(s[None, :] * odd + odd).min(axis=1).astype(np.int64) if len(s) else np.empty(0, np.int64))
             none = pa.nulls(len(n))
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
-            k = BUCKETS // CHUNK
+            k = buckets // CHUNK
             none = pa.nulls(k)
             packed = [zlib.compress(counts[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1) for i in range(k)]
             yield pa.record_batch([none.cast(pa.int64())] * 4 + [none.cast(pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
@@ -108,12 +116,13 @@ def _holds(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _bits(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """A fixed-size bitmap that holds at least the given 64-bit ids; what passes it is joined with them."""
+def _bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap, sized by their number, that holds at least the given 64-bit ids."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ids.count()).bit_length()))
     where = F.pmod(F.col(column), F.lit(bits)) + 1  # bucket b begins at (b - 1) * 32768 + 1
     got = ids.select(F.bitmap_bucket_number(where).alias("b"), F.bitmap_bit_position(where).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for b, m in got.collect():  # at most bits / 32768 rows
+    for b, m in got.toLocalIterator():  # at most bits / 32768 rows
         part = np.packbits(np.unpackbits(np.frombuffer(bytes(m), dtype=np.uint8), bitorder="little"))
         at = (b - 1) * 4096
         out[at : at + len(part)] |= part[: max(0, len(out) - at)]
@@ -145,7 +154,7 @@ def _emit(size: int, num: int, den: int, counts: np.ndarray | None, wanted: np.n
                 if counts is not None:
                     bins = _bins(s)
                     p = len(s) - -(-num * len(s) // den) + 1
-                    c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
                     prefix = s[np.lexsort((s, c))[:p]].astype(np.int64)
                 items = s.tobytes() if _holds(wanted, np.array([f1]))[0] else None
                 if prefix is None and items is None:
@@ -206,9 +215,15 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
+def _place(token: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of the token space by the upper half of each token (unsigned), and its name: the part and the lower half."""
+    chunk = ((token >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
+    return chunk, chunk << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+
+
 def _owned(chunks: int):
     """Rows (c, n, prefix) to (chunk, data): by parts of the token space, the low 32 bits
-    of each token with 32 bits of its class and a byte of its size, sorted, as steps."""
+    of each token as steps, its class and a byte of its size, sorted by token and class."""
     schema = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,73 +231,75 @@ def _owned(chunks: int):
             if not batch.num_rows:
                 continue
             token, row, _ = _flat(batch)
-            both = (token.view(np.uint64) << np.uint64(32)) | (batch.column(0).to_numpy().view(np.uint64)[row] >> np.uint64(32))
-            n = batch.column(1).to_numpy()[row].astype(np.uint8)
-            order = np.lexsort((n, both))
-            both, n = both[order], n[order]
-            new = np.ones(len(both), dtype=bool)
-            new[1:] = (both[1:] != both[:-1]) | (n[1:] != n[:-1])
-            both, n = both[new], n[new]
-            token, owner = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
-            edge = np.searchsorted((token.astype(np.int64) * chunks) >> 32, np.arange(chunks + 1))
+            _, name = _place(token.view(np.uint64), chunks)
+            owner, n = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row].astype(np.uint8)
+            order = np.lexsort((n, owner, name))
+            name, owner, n = name[order], owner[order], n[order]
+            new = np.ones(len(name), dtype=bool)
+            new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]) | (n[1:] != n[:-1])
+            name, owner, n = name[new], owner[new], n[new]
+            edge = np.searchsorted(name >> np.uint64(32), np.arange(chunks + 1, dtype=np.uint64))
             some = np.flatnonzero(edge[1:] > edge[:-1])
-            data = [_planes(np.diff(token[x], prepend=np.uint32(0))) + owner[x].tobytes() + n[x].tobytes() for x in (slice(edge[k], edge[k + 1]) for k in some)]
+            low = name.astype(np.uint32)
+            data = [_planes(np.diff(low[x], prepend=np.uint32(0))) + owner[x].tobytes() + n[x].tobytes() for x in (slice(edge[k], edge[k + 1]) for k in some)]
             yield pa.record_batch([pa.array(some, pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, data) sorted by chunk to (token, m): low bits of tokens of several
+    """Rows (chunk, data) sorted by chunk to (token, m): names of tokens of several
     classes and how many entries their lists get."""
     parts: list[bytes] = []
 
-    def done():
+    def done(chunk: int):
         token, owner, size = [], [], []
         for p in parts:
-            k = len(p) // 9
+            k = len(p) // 13
             steps = np.frombuffer(p, np.uint8, 4 * k).reshape(4, k).T
             token.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32))
-            owner.append(np.frombuffer(p, np.uint32, k, 4 * k))
-            size.append(np.frombuffer(p, np.uint8, k, 8 * k))
+            owner.append(np.frombuffer(p, np.int64, k, 4 * k))
+            size.append(np.frombuffer(p, np.uint8, k, 12 * k))
         parts.clear()
-        both = np.concatenate(token).astype(np.uint64) << np.uint64(32) | np.concatenate(owner)
-        size = np.concatenate(size)
-        order = np.lexsort((size, both))
-        both, size = both[order], size[order]
-        new = np.ones(len(both), dtype=bool)
-        new[1:] = (both[1:] != both[:-1]) | (size[1:] != size[:-1])
-        both = both[new]
-        token = both >> np.uint64(32)
+        token, owner, size = np.concatenate(token), np.concatenate(owner), np.concatenate(size)
+        order = np.lexsort((size, owner, token))
+        token, owner, size = token[order], owner[order], size[order]
+        other = np.append(True, owner[1:] != owner[:-1])
+        head = np.append(True, token[1:] != token[:-1])
+        new = head | other
+        new[1:] |= size[1:] != size[:-1]
+        token, owner = token[new], owner[new]
         at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         end = np.append(at[1:], len(token))
-        several = both[at] != both[end - 1]
-        return pa.record_batch([pa.array(token[at][several].astype(np.int64)), pa.array((end - at)[several])], names=["token", "m"])
+        several = owner[at] != owner[end - 1]
+        return pa.record_batch([pa.array(token[at][several].astype(np.int64) | chunk << 32), pa.array((end - at)[several])], names=["token", "m"])
 
     chunk = None
     for batch in batches:
         for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if k != chunk and parts:
-                yield done()
+                yield done(chunk)
             chunk = k
             parts.append(p)
     if parts:
-        yield done()
+        yield done(chunk)
 
 
-def _shared(passes: np.ndarray, hot: np.ndarray):
-    """Rows (c, n, prefix) to (token, c, n, r, hot), of tokens that the first bitmap holds."""
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("hot", pa.bool_())])
+def _shared(passes: np.ndarray, hot: np.ndarray, chunks: int):
+    """Rows (c, n, prefix) to (token, c, n, r, name, hot), of tokens whose names the first bitmap
+    holds; hot are those that the second one holds."""
+    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("name", pa.int64()), ("hot", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             token, row, pos = _flat(batch)
-            some = _holds(passes, token)
-            token, row, pos = token[some], row[some], pos[some]
+            name = _place(token.view(np.uint64), chunks)[1].astype(np.int64)
+            some = _holds(passes, name)
+            token, row, pos, name = token[some], row[some], pos[some], name[some]
             n = batch.column(1).to_numpy()[row]
-            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos), pa.array(_holds(hot, token & 0xFFFFFFFF))], schema=schema)
+            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos), pa.array(name), pa.array(_holds(hot, name))], schema=schema)
 
     return run
 
@@ -418,10 +435,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = materialize(texts.mapInArrow(lean(_scan(size)), "doc_id long, n long, f1 long, f2 long, mins array<long>, chunk int, counts binary"), "scan")
+    buckets = _buckets(texts)
+    scan = materialize(texts.mapInArrow(lean(_scan(size, buckets)), "doc_id long, n long, f1 long, f2 long, mins array<long>, chunk int, counts binary"), "scan")
     added = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(_added), "chunk int, counts binary")
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for chunk, packed in added.collect():  # BUCKETS / CHUNK rows of CHUNK counts
+    counts = np.zeros(buckets, dtype=np.int64)
+    for chunk, packed in added.toLocalIterator():  # buckets / CHUNK rows of CHUNK counts
         counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(packed)), dtype=np.int64)
 
     known = scan.where("chunk is null")
@@ -451,12 +469,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     owned = prefixes.mapInArrow(lean(_owned(chunks)), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
     shared = materialize(owned.mapInArrow(lean(_counted), "token long, m long"), "shared")
     long = shared.where(F.col("m") > CELL)
-    passes = _shared(_bits(shared, "token", TOKEN_BITS), _bits(long, "token"))
-    posted = prefixes.mapInArrow(lean(passes), "token long, c long, n long, r long, hot boolean").groupBy("token", "c", "n", "hot").agg(F.max("r").alias("r"))
+    passes = _shared(_bits(shared, "token"), _bits(long, "token"), chunks)
+    posted = prefixes.mapInArrow(lean(passes), "token long, c long, n long, r long, name long, hot boolean")
+    if shared.count() > MOST_BITS // 8:  # the map is too full to sort out the rest
+        posted = posted.join(shared.select(F.col("token").alias("name")), "name", "left_semi")
+    posted = posted.groupBy("token", "c", "n", "name", "hot").agg(F.max("r").alias("r"))
     posted = materialize(posted, "posted")
     # a list longer than a cell is cut, and every two of its cells meet
-    long = long.select(F.col("token").alias("low"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
-    entries = posted.where("hot").join(long, F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("low"), "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    long = long.select(F.col("token").alias("name"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    entries = posted.where("hot").join(long, "name", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     entries = entries.select("token", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).cast("long").alias("cell"), "c", "n", "r")
     entries = entries.unionByName(posted.where("not hot").select("token", F.lit(0).cast("long").alias("cell"), "c", "n", "r"))
@@ -491,12 +512,16 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     both = materialize(both.select("a", "b", "d", "radius", (F.col("d") - F.coalesce("other", F.lit(0.0))).alias("reach"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks")), "both")
     if both.take(1):
         probes = both.select("a", F.col("b").alias("p"), "blocks").unionByName(both.join(led.withColumnRenamed("b", "p"), both.b == F.col("leader")).where(both.d - both.radius - led.d <= far + 1e-9).select("a", "p", "blocks"))
-        probes = probes.distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        probes = materialize(probes.distinct(), "probes")
+        # both sides of a leader's comparison are cut, and every two of their parts meet
+        parts = probes.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+        probes = probes.join(parts, "a").withColumn("j", F.pmod(F.xxhash64("p", F.lit(3)), F.col("parts")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         hubs = both.groupBy("a", "blocks").agg(F.min("reach").alias("reach"))
         near_by = led.select(F.col("leader").alias("a"), F.col("b").alias("p"), "d")
         hubs = hubs.join(near_by, "a").unionByName(hubs.withColumn("p", F.col("a")).withColumn("d", F.lit(0.0)))  # a leader may link with another's member
         hubs = hubs.where(F.col("reach") - F.col("d") <= far + 1e-9).withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
-        key = F.xxhash64("a", "k").alias("key")
+        hubs = hubs.join(parts, "a").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key = F.xxhash64("a", "k", "j").alias("key")
         rows = hubs.select(key, F.lit(0).alias("role"), F.col("p").alias("f1")).unionByName(probes.select(key, F.lit(1).alias("role"), F.col("p").alias("f1")))
         rows = _with_items(rows, have)
         links = links.unionByName(_compare(rows, num, den, far).where("links").select("a", "b"))
@@ -506,8 +531,10 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     joined = components(named.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
     joined = classes.join(joined, classes.rep == joined.node, "left").where("copies > 1 or component is not null")
     joined = materialize(joined.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "joined")
-    out = known.select("doc_id", "n", "f1", "f2").join(joined, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = known.where("n > 0").select("doc_id", "n", "f1", "f2").join(joined, ["f1", "f2", "n"], "left")
+    out = out.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    blank = known.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))  # they'd share one key
+    return out.unionByName(blank).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
