@@ -12,14 +12,14 @@ words, which are merged.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import lean, table
+from .stages import lean, materialize, table
 from .wordhash import Words, buffers
 
 WINDOW = 10
@@ -306,6 +306,15 @@ def _search(phrases: Phrases, extra: bool, schema: pa.Schema, last: bool = True)
     return run
 
 
+def _rounds(items: DataFrame, item_id: str, item_text: str, window: int) -> list[Callable[[], Phrases]]:
+    """The phrases of the items in rounds of about PHRASE_WORDS words, each made when it is called."""
+    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    size = named.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = max(1, -(-size // (6 * PHRASE_WORDS)))
+    part = lambda r: named if n == 1 else named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == r)
+    return [lambda r=r: Phrases(sorted(map(tuple, part(r).collect())), window) for r in range(n)]
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, spans: bool = False) -> DataFrame:
     """Per row of ``docs``: key, n_words, n_hit, items, and with ``spans`` the byte spans to
     remove (start, end, start, end, ...) and ``cleaned``, the text without them (null: unchanged).
@@ -319,45 +328,81 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text_c
     fields = [("key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))] + [("spans", pa.list_(pa.int64())), ("cleaned", pa.string())] * spans
     kind = "key long, n_words long, n_hit long, items array<string>" + ", spans array<long>, cleaned string" * spans
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text_col).alias("text"))
-    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    size = named.agg(F.sum(F.length("t"))).first()[0] or 0
-    rounds = max(1, -(-size // (6 * PHRASE_WORDS)))
-    for r in range(rounds):  # more than one only for benchmarks of more than PHRASE_WORDS words or so
-        some = named if rounds == 1 else named.where(F.pmod(F.xxhash64("i"), F.lit(rounds)) == r)
-        phrases, last = Phrases(sorted(map(tuple, some.collect())), window), r == rounds - 1
-        if last:
-            texts = texts.mapInArrow(lean(_search(phrases, spans, pa.schema(fields))), kind)
+    rounds = _rounds(items, item_id, item_text, window)
+    for r, phrases in enumerate(rounds):  # more than one only for benchmarks of more than PHRASE_WORDS words or so
+        if r == len(rounds) - 1:
+            texts = texts.mapInArrow(lean(_search(phrases(), spans, pa.schema(fields))), kind)
         else:
             carried = pa.schema([("key", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            texts = texts.mapInArrow(lean(_search(phrases, False, carried, False)), "key long, text string, hits array<long>, items array<string>")
+            texts = texts.mapInArrow(lean(_search(phrases(), False, carried, False)), "key long, text string, hits array<long>, items array<string>")
     return texts.withColumnRenamed("key", key)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the benchmark's passages cut out of the texts and ``n_chars`` of changed
-    texts counted anew.  A text of which no word is left goes; untouched rows stay as they are."""
-    named = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text")
-    phrases = Phrases(sorted(map(tuple, named.collect())), window)
-    at, counted, schema = docs.columns.index(text_col), docs.columns.index(size_col), docs.schema
+def _cleaner(phrases: Phrases, at: int, counted: int | None, hits: int | None, last: bool):
+    """One round over whole rows, the text in column ``at``: adds the words hit to the list in the last
+    column (``hits``), or cuts what all rounds hit."""
     found = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64())), ("cleaned", pa.string())])
+    carried = pa.schema([("row", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbered = pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
+            columns, names = [pa.array(np.arange(batch.num_rows)), batch.column(at)], ["row", "text"]
+            if hits is not None:
+                none = pa.array([[]] * batch.num_rows, pa.list_(pa.string()))
+                columns, names = [*columns, batch.column(hits), none], [*names, "hits", "items"]
+            numbered = pa.record_batch(columns, names=names)
+            if not last:
+                listed = [x for part in _search(phrases, False, carried, False)([numbered]) for x in part.column(2).to_pylist()]
+                columns = list(batch.columns)
+                columns[hits] = pa.array(listed, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                continue
             cleaned = [x for part in _search(phrases, True, found)([numbered]) for x in part.column(5).to_pylist()]
             if any(x is not None for x in cleaned):
-                texts, sizes = batch.column(at).to_pylist(), batch.column(counted).to_pylist()
-                texts = [t if c is None else c for t, c in zip(texts, cleaned, strict=True)]
-                sizes = [n if c is None else len(c) for n, c in zip(sizes, cleaned, strict=True)]
+                texts = [t if c is None else c for t, c in zip(batch.column(at).to_pylist(), cleaned, strict=True)]
                 columns = list(batch.columns)
-                columns[at], columns[counted] = pa.array(texts, columns[at].type), pa.array(sizes, columns[counted].type)
+                columns[at] = pa.array(texts, columns[at].type)
+                if counted is not None:
+                    sizes = [n if c is None else len(c) for n, c in zip(columns[counted].to_pylist(), cleaned, strict=True)]
+                    columns[counted] = pa.array(sizes, columns[counted].type)
                 empty = [c is not None and not any(x.isalnum() or x > "\x7f" for x in c) for c in cleaned]
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not e for e in empty]))
-            yield batch
+            yield batch if hits is None else batch.select(range(batch.num_columns - 1))
+
+    return run
 
-    return docs.mapInArrow(lean(run), schema)
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", size_col: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with the benchmark's passages cut out of the texts and ``size_col``, where there is
+    one, of changed texts counted anew.  A text of which no word is left goes; untouched rows
+    (null and empty texts too), repeated rows and other columns stay as they are; an empty
+    table or benchmark changes nothing.
+
+    A benchmark of more than PHRASE_WORDS words or so is searched for in rounds, of which the
+    last cuts what all have hit; that is done again while it changes a text, since what is left
+    may meet as a phrase.
+    """
+    at, schema = docs.columns.index(text_col), docs.schema
+    counted = docs.columns.index(size_col) if size_col in docs.columns else None
+    rounds = _rounds(items, item_id, item_text, window)
+    if len(rounds) == 1:
+        return docs.mapInArrow(lean(_cleaner(rounds[0](), at, counted, None, True)), schema)
+    hits = "_hits"
+    while hits in docs.columns:
+        hits = "_" + hits
+    while True:
+        marked = docs.withColumn(hits, F.array().cast("array<long>"))
+        kind, place = marked.schema, len(docs.columns)
+        for phrases in rounds[:-1]:
+            marked = marked.mapInArrow(lean(_cleaner(phrases(), at, counted, place, False)), kind)
+        marked = materialize(marked, "marked")
+        done = materialize(marked.mapInArrow(lean(_cleaner(rounds[-1](), at, counted, place, True)), schema), "cleaned")
+        size = lambda t: t.agg(F.count("*"), F.sum(F.length(F.col(text_col)))).first()
+        if size(done) == size(docs):
+            return done
+        docs = done
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

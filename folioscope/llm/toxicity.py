@@ -89,6 +89,9 @@ class Trees:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+        if not len(y):  # nothing is known: no trees, and even odds
+            self.base, self.trees, self.edges = 0.0, [], [np.empty(0)] * x.shape[1]
+            return self
         q = np.linspace(0, 1, self.bins + 1)[1:-1]
         self.edges = [np.unique(np.concatenate([np.quantile(c, q), np.quantile(c[c > 0], q[::4]) if (c > 0).any() else []])) for c in x.T]
         b = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
@@ -161,7 +164,7 @@ class ToxicityModel:
     """Fitted on feature rows; every fifth is held back for the calibration."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, learned: list[str]):
-        self.features = Features(learned)
+        self.features, self.known = Features(learned), len(y) > 0
         held = np.arange(len(y)) % 5 == 4
         if held.sum() < 2 or not 0 < y[~held].sum() < (~held).sum():
             held[:] = False
@@ -170,6 +173,8 @@ class ToxicityModel:
 
     def score(self, column: pa.Array) -> np.ndarray:
         f = self.trees.raw(self.features.of(column))
+        if not self.known:  # without a labelled row nothing is called toxic
+            return np.full(len(f), 0.499)
         plain = 1 / (1 + np.exp(-f))
         # the steps give the level; within a step the trees' own order remains
         return plain if self.scale is None else np.clip(0.98 * self.scale.of(f) + 0.02 * plain, 0, 1)
@@ -229,7 +234,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
     A null text is scored as empty.  Rows with equal or null ids stay separate (a null id is
-    not held out).  Without both labels among the training rows every score is the prior.
+    not held out).  Without both labels among the training rows every score is the prior,
+    the share of toxic ones, or just under a half without any labelled row.
     Other columns are ignored; an empty table gives no rows.
     """
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scored(model)), "doc_id long, score double")
@@ -237,7 +243,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic, in one pass over whole rows."""
+    """``docs`` without the rows predicted toxic, in one pass over whole rows.
+
+    Null and empty texts are scored as empty ones; repeated rows go or stay together; all
+    columns are kept as they are; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
