@@ -9,6 +9,7 @@ to right where they overlap.  Words that can't merge further leave the array.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -26,6 +27,8 @@ from .stages import lean, table
 NONE = np.int64(1 << 40)
 #: Words kept between batches of a task; beyond, the cache starts anew.
 CACHE = 200_000
+#: Symbols from which on a word is merged by itself.
+LONG = 4096
 #: White space as the tokenizer's own pattern language has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -37,6 +40,36 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _newer() -> tuple[str, dict[int, str], str]:
+    """Where the library's Unicode tables differ from this machine's, found by asking the library:
+    letters and numbers that it doesn't have, lower-case forms that only it has, and marks
+    that it neither orders nor composes with others.
+
+    Only planes that Unicode assigns letters in are asked about.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x40000)]]
+    asked = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(points)) if unicodedata.category(c) == "Cn"]
+    # a letter comes with its neighbours, a number alone, anything else in twos
+    split = pre_tokenizers.Split(Regex(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+    pieces = split.pre_tokenize_str(" ".join(f"a{c}{c}" for c in asked))
+    whole = {p[1] for p, _ in pieces if len(p) == 3}
+    single = {p for p, _ in pieces if len(p) == 1 and p != "a"}
+    gone = "".join(c for c in asked if c not in whole and c not in single)
+    unknown = [c for c in points if unicodedata.category(c) == "Cn"]
+    low = normalizers.Lowercase().normalize_str("".join(unknown))
+    plain = normalizers.NFC().normalize_str
+    marks = [c for c in points if unicodedata.combining(c)]
+    beside = lambda c: "\u0315" + c if unicodedata.combining(c) < 232 else c + "\u0334"  # noqa: E731  (of classes 232 and 1)
+    pairs = [(c, unicodedata.decomposition(c)) for c in points]
+    pairs = ["".join(chr(int(x, 16)) for x in d.split()) for c, d in pairs if d.count(" ") == 1 and d[0] != "<" and unicodedata.normalize("NFC", c) == c]
+    loose = {c for c in marks if plain("a" + beside(c)) != unicodedata.normalize("NFC", "a" + beside(c))}
+    loose |= {p[1] for p in pairs if plain(p) == p}
+    return gone, {ord(a): b for a, b in zip(unknown, low, strict=True) if a != b} if len(low) == len(unknown) else {}, "".join(sorted(loose))
+
+
 class Index(dict):
     """Numbers words in the order in which they come up."""
 
@@ -70,6 +103,10 @@ class WordBpe:
         self.keys, first = np.unique(key, return_index=True)
         self.ranks, self.made = first.astype(np.int64), made[first]
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+        gone, self.lower, loose = _newer()
+        self.loose = regex.compile(f"([{loose}])") if loose else None
+        self.odd = regex.compile(f"[{gone}]") if gone else None
+        self.odd_words = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{gone}]]+|[\p{{N}}--[{gone}]]|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{gone}])+") if gone else self.words
         # the same classes below 256, for the faster engine
         kind = lambda k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k)
         self.latin_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^\t-\r \x85\xa0{kind('L')}{kind('N')}]+")
@@ -82,6 +119,16 @@ class WordBpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat token ids of all words, and each word's number of them."""
+        if any(len(w) >= LONG for w in words):
+            some = [i for i, w in enumerate(words) if len(w) < LONG]
+            flat, n = self.merge([words[i] for i in some]) if some else (np.empty(0, np.int64), np.zeros(0, np.int64))
+            made: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+            for i, part in zip(some, np.split(flat, np.cumsum(n)[:-1]) if some else [], strict=True):
+                made[i] = part
+            for i, w in enumerate(words):
+                if len(w) >= LONG:
+                    made[i] = self._merge_long(w)
+            return np.concatenate(made), np.array([len(x) for x in made], dtype=np.int64)
         length = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum(length)
@@ -132,6 +179,60 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one word: in each round the places of the lowest rank, which are kept by rank."""
+        data = np.frombuffer(word, dtype=np.uint8)
+        sym, n = np.append(self.inner[data], 0), len(data)
+        sym[n - 1] = self.last[data[-1]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # n is behind the end
+        rank, made = np.full(n + 1, NONE), np.zeros(n + 1, dtype=np.int64)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks of the pairs that begin at these places."""
+            rank[at] = NONE
+            at = at[after[at] < n]
+            key = sym[at] << 20 | sym[after[at]]
+            k = np.searchsorted(self.keys, key)
+            k[k == len(self.keys)] = 0
+            fits = self.keys[k] == key
+            at, k = at[fits], k[fits]
+            rank[at], made[at] = self.ranks[k], self.made[k]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            edge = np.flatnonzero(np.append(True, rank[at][1:] != rank[at][:-1])) if len(at) else []
+            for part in np.split(at, edge[1:]) if len(at) else []:
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(part)
+
+        look(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            pos = np.unique(np.concatenate(places.pop(r)))
+            pos = pos[rank[pos] == r]
+            if not len(pos):
+                continue
+            # of overlapping pairs every second one, from the left
+            head = np.append(True, after[pos[:-1]] != pos[1:])
+            run = np.maximum.accumulate(np.where(head, np.arange(len(pos)), 0))
+            pos = pos[(np.arange(len(pos)) - run) % 2 == 0]
+            sym[pos] = made[pos]
+            gone = after[pos]
+            rank[gone] = NONE
+            after[pos] = after[gone]
+            before[after[pos]] = pos
+            near = np.concatenate([pos, before[pos]])
+            look(np.unique(near[near >= 0]))
+        out, at = np.zeros(n, dtype=bool), 0
+        while at < n:
+            out[at] = True
+            at = after[at]
+        return sym[:n][out]
+
     def _learn(self, new: list[str]) -> None:
         flat, count = self.merge([w.encode("utf-8", "surrogatepass") for w in new])
         self.flat = np.concatenate([self.flat, flat])
@@ -139,9 +240,13 @@ class WordBpe:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if self.loose and self.loose.search(text):
+                text = "".join(unicodedata.normalize("NFC", x) for x in self.loose.split(text))
+            else:
+                text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # no final form: letters are lowered one by one
                 text = text.replace("Σ", "σ")
+            text = text.translate(self.lower) if self.lower else text
         return text.lower()
 
     def split(self, text: str) -> list[str]:
@@ -149,7 +254,7 @@ class WordBpe:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.words.findall(text)
+            return (self.odd_words if self.odd and self.odd.search(text) else self.words).findall(text)
         return self.latin_words.findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
