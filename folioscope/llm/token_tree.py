@@ -163,7 +163,7 @@ class TokenTree:
 
 
 def edits_of(text: str, patterns) -> list[tuple[int, int, str]]:
-    """Places that the patterns find, leftmost first; earlier patterns win where they overlap."""
+    """Places that the patterns find; where they overlap the leftmost wins, of those that begin together the earlier pattern's."""
     found: list[tuple[int, int, str]] = []
     for p, new in patterns:
         for m in p.finditer(text):

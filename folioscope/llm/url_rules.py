@@ -6,7 +6,8 @@ beginning or end, ``@@`` in front an exception.  A token is a run of letters and
 that every matching address holds as a whole run.  The corpus counts the tokens that any
 rule has; each rule is filed under its rarest.  An address looks its own tokens up in
 that index, a hash table of constant size in the plan, and only what it finds runs as a
-regular expression.  No row moves between tasks but the counts of the rules' tokens.
+regular expression.  No row moves between tasks but the counts of the rules' tokens.  A
+list of more than LITERAL rules is a table instead, which the addresses' tokens are joined with.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stages import table
+from .stages import ROW, numbered, table
 
 # The host and path rules of the query's contract.
 HOST_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -25,6 +26,8 @@ PATTERN_RULES = (
     "||free-bets.", "||casino.", "||adserver.", "||doubleclick.", "^banner^", "^ads^", "^sponsored^", "^popunder^", "^utm_source=", "^utm_medium=", "^utm_campaign=", "^sessionid=", "^phpsessid=",
     "^affiliate=", "^login^", "^signup^", "^cart^", "^wp-admin^", ".jpg|", ".png|", ".zip|", ".exe|", "@@^utm_source=feed^", "@@^rss^",
 )
+#: Rules up to which the index is a constant of the plan.
+LITERAL = 500
 
 
 def to_regex(rule: str) -> str:
@@ -65,19 +68,11 @@ def _tokens_of(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(url), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, patterns) of every row.
-
-    A null address, or one without ``://``, has an empty host and path.  Only the host is
-    lower-cased; patterns see the whole address lower-cased.  Without a host rule that fits,
-    an address is blocked if a pattern matches and no exception does, and allowed else (also
-    a null one).  Rows with equal or null ids stay; other columns are ignored; an empty
-    table gives no rows.
-    """
+def _looked_up(pages: DataFrame, pattern_rules, url: Column) -> Column:
+    """The rules that fit, by an index that is a constant of the plan."""
     named = {r: tokens(r) for r in pattern_rules}
     known = sorted({t for v in named.values() for t in v})
     seen: dict[str, int] = {}
-    url = F.col(url_col)
     if known:  # at most as many rows as the rules have tokens
         rows = pages.select(F.explode(F.array_intersect(_tokens_of(url), F.array(*map(F.lit, known)))).alias("t")).groupBy("t").count().collect()
         seen = {r["t"]: r["count"] for r in rows}
@@ -99,7 +94,40 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     found = F.flatten(F.transform(F.coalesce(_tokens_of(url), F.array().cast("array<string>")), lambda t: F.coalesce(F.element_at(F.element_at(index, slot(t) + 1), t), empty)))
     if loose:
         found = F.concat(found, F.array(*map(entry, loose)).cast(none))
-    fits = F.transform(F.filter(found, lambda r: F.expr("true") & F.regexp(_lower(url), r["pattern"])), lambda r: r["rule"])
+    return F.transform(F.filter(found, lambda r: F.expr("true") & F.regexp(_lower(url), r["pattern"])), lambda r: r["rule"])
+
+
+def _joined(pages: DataFrame, pattern_rules, url: Column) -> DataFrame:
+    """``pages`` with ``patterns``, the rules that fit, by joining tokens with the table of rules.
+
+    A rule without a token is filed under the empty one, which every address has.
+    """
+    spark = pages.sparkSession
+    rules = spark.createDataFrame([(r, to_regex(r), tokens(r)) for r in pattern_rules], "rule string, pattern string, tokens array<string>").distinct()
+    rows = numbered(pages)
+    met = rows.select(ROW, url.alias("u"), F.explode(F.array_append(F.coalesce(_tokens_of(url), F.array().cast("array<string>")), F.lit(""))).alias("t"))
+    each = rules.select("rule", "pattern", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("t"))
+    seen = met.select("t").join(each.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    filed = each.join(seen, "t", "left").groupBy("rule", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "t")).getField("t").alias("t"))
+    fits = met.join(filed, "t").where(F.regexp(_lower(F.col("u")), F.col("pattern")))
+    fits = fits.groupBy(ROW).agg(F.collect_set("rule").alias("patterns"))
+    return rows.join(fits, ROW, "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>"))).drop(ROW)
+
+
+def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, patterns) of every row.
+
+    A null address, or one without ``://``, has an empty host and path.  Only the host is
+    lower-cased; patterns see the whole address lower-cased.  Without a host rule that fits,
+    an address is blocked if a pattern matches and no exception does, and allowed else (also
+    a null one).  Rows with equal or null ids stay; other columns are ignored; an empty
+    table gives no rows.
+    """
+    url = F.col(url_col)
+    if len(pattern_rules) > LITERAL:
+        pages, fits = _joined(pages.select(id_col, url_col), pattern_rules, url), F.col("patterns")
+    else:
+        fits = _looked_up(pages, pattern_rules, url)
 
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + F.lit(3))).otherwise(F.lit(""))
