@@ -81,12 +81,16 @@ def written() -> int:
     return len(_written)
 
 
+def discard_one(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
+
+
 def discard(spark: SparkSession, since: int = 0) -> None:
     """Removes the intermediate tables written after the mark; what reads them must be done."""
     for path in _written[since:]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _written[since:]
+        discard_one(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
