@@ -1,16 +1,17 @@
 """The corpus pipeline: language, toxicity, copies, benchmark passages, tokens.
 
-Each stage gets the documents that the one before it kept and works on all of them.
+Each stage gets the documents that the one before it kept and works on all of them.  Nulls,
+empty and long texts, repeated rows and empty tables are treated as each operator's function
+says: a text without letters goes with the first stage, of copies one row stays, a text
+that is all benchmark goes with the fourth.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import bpe_codec, decontaminate, jaccard_join, language_id, toxicity
-from folioscope.llm.stages import shared_dir, table
+from folioscope.llm.stages import discard, discard_one, scratch_path, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each one written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    """Applies the stages to ``documents``, each one written and read again; what a stage wrote
+    on its way is removed when its result is written, and its input too."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path, mark = scratch_path(spark, f"pipeline-{name}"), written()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        discard(spark, mark)
+        if before is not None:
+            discard_one(spark, before)
+        before = path
     return docs
