@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("plans.rollups", "operators.sheets", "operators.summaries", "streaming.rollups")
+MODULES = ("plans.rollups", "operators.sheets", "operators.summaries", "sources.samples", "streaming.rollups")
 
 
 def queries() -> dict:

@@ -16,7 +16,11 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+# the readers' rows are compared without Spark in test_formats; one of each kind of file goes through it here
+READERS = ("read_csv", "read_docx", "read_jsonpatch", "read_lcov", "read_plist", "read_sbml", "read_stl")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalog.oracle_sql() if not n.startswith("read_") or n in READERS))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in Path(ONLY).glob("*.parquet"):
