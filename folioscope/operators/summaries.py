@@ -32,13 +32,6 @@ def stacked_domain(spark, sf_dir: str) -> DataFrame:
     return stacks.agg(F.max("stack").alias("axis_max"), F.max("largest_part").alias("part_max"), F.count("*").alias("months"), F.max("series").alias("series"))
 
 
-def table_pages(spark, sf_dir: str, rows: int = 100) -> DataFrame:
-    """Rows in pages of a fixed number; keys are dense, so a page is a division and no global window."""
-    e = read(spark, sf_dir, "events")
-    lo = e.agg(F.min("event_id")).first()[0] or 0
-    return e.groupBy(F.floor((F.col("event_id") - lo) / rows).alias("page")).agg(F.count("*").alias("rows"), F.min("event_id").alias("first_row"), F.max("event_id").alias("last_row"))
-
-
 def distinct_warnings(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.concat_ws(": ", "event_type", "props").alias("warning")).distinct()
 
@@ -70,7 +63,7 @@ def text_criteria(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(criterion(t, r)).alias(n) for n, r in rules.items()])
 
 
-NAMES = ("suite_totals", "coverage_rate", "stacked_domain", "table_pages", "distinct_warnings", "url_mask", "text_width_spans", "number_formats", "text_criteria")
+NAMES = ("suite_totals", "coverage_rate", "stacked_domain", "distinct_warnings", "url_mask", "text_width_spans", "number_formats", "text_criteria")
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {
     "suite_totals": """SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN '(total)' ELSE o_orderpriority END AS suite, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done,
@@ -78,7 +71,6 @@ ORACLES = {
     "coverage_rate": "SELECT l_returnflag, hit, found - hit AS missed, CASE WHEN found > 0 THEN (hit * 1000) // found END AS permille FROM (SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS hit, count(*) AS found FROM lineitem GROUP BY 1)",
     "stacked_domain": """WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT month, sum(n)::BIGINT AS stack, max(n) AS part, count(*) AS series FROM p GROUP BY 1)
 SELECT max(stack) AS axis_max, max(part) AS part_max, count(*) AS months, max(series) AS series FROM s""",
-    "table_pages": "SELECT (event_id - (SELECT min(event_id) FROM events)) // 100 AS page, count(*) AS rows, min(event_id) AS first_row, max(event_id) AS last_row FROM events GROUP BY 1",
     "distinct_warnings": "SELECT DISTINCT concat_ws(': ', event_type, props) AS warning FROM events",
     "url_mask": """WITH u AS (SELECT page_id, url, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'Session-Id=abc' AS x FROM pages),
 q AS (SELECT *, regexp_extract(x, '^([^?#]*\\??)', 1) AS head, string_split(regexp_extract(x, '^[^?#]*\\?([^#]*)', 1), '&') AS ps, regexp_extract(x, '(#.*)$', 1) AS tail FROM u),
