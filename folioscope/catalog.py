@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("plans.rollups", "operators.sheets", "operators.summaries", "operators.sequence", "operators.rules", "operators.calculations", "sources.samples", "streaming.rollups")
+MODULES = ("plans.rollups", "operators.sheets", "operators.summaries", "operators.sequence", "operators.rules", "operators.calculations", "sources.samples", "sinks.roundtrips", "operators.drawings", "streaming.rollups")
 
 
 def queries() -> dict:

@@ -300,8 +300,8 @@ def query(name: str):
     return run
 
 
-def oracle(name: str) -> str:
-    """The rows that the files must give, from the table alone."""
+def oracle(name: str, rows: list[tuple] | None = None) -> str:
+    """The rows that the files must give (the case's, or ``rows``), from the table alone."""
 
     def value(t: str | None) -> str:
         if t is None:
@@ -311,7 +311,7 @@ def oracle(name: str) -> str:
         return " || ".join(q for q in quoted if q != "''") or "''"
 
     columns = formats()[name].columns
-    rows = CASES[name][1]
+    rows = CASES[name][1] if rows is None else rows
     each = [f"SELECT CAST(s_suppkey AS VARCHAR) AS file_path, CAST({n} AS BIGINT) AS ord, " + ", ".join(f'{value(v)} AS "{c}"' for c, v in zip(columns, r, strict=True)) + ", CAST(NULL AS VARCHAR) AS error FROM supplier" for n, r in enumerate(rows)]
     return "\nUNION ALL ".join(each)
 
