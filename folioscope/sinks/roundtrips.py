@@ -15,7 +15,7 @@ from .writers import WRITERS, files_from
 _BLOCKS = [("heading", "2", N), ("paragraph", "0", f"some words {K}"), ("item", "1", "one thing"), ("row", "2", f"k\t{K}"), ("row", "2", "v\t2")]
 #: Rows that a format holds in full, where its reader's sample has others.
 GIVEN = {
-    "docx": _BLOCKS, "markdown": _BLOCKS, "html": _BLOCKS, "pdf": [("version", "1.4"), ("pages", "1"), ("text", f"{N} (a)"), ("text", f"k{K}")], "xlsx": [r[:5] + (None,) for r in CASES["xlsx"][1]],
+    "docx": _BLOCKS, "markdown": _BLOCKS, "html": _BLOCKS, "tex": _BLOCKS, "pdf": [("version", "1.4"), ("pages", "1"), ("text", f"{N} (a)"), ("text", f"k{K}")], "xlsx": [r[:5] + (None,) for r in CASES["xlsx"][1]],
     "dot": [("node", "a", N, None, None), ("node", f"b{K}", f"b{K}", None, None), ("edge", "directed", "x", "a", f"b{K}")], "svg": [("rect", "1", f"x={K} y=1 width=2 height=3", "red", None, None), ("text", "1", "x=0 y=0", None, None, N), ("path", "1", "M0 0L1 1", None, "#000", None)],
     "iges": [("1", "110", "3", f"0. 0. 0. 1. 2. {K}."), ("3", "116", None, "5. 6. 7.")], "gerber": [("1", "move", "C,0.5", "0", "0", "1", "2"), ("2", "draw", "C,0.5", "1", "2", "3", K), ("3", "flash", "R,1", "3", K, "0.25", V)],
     "gcode": [("3", "rapid", "0", "0", "0", "1", "2", "0"), ("4", "line", "1", "2", "0", "1", "2", "-1"), ("5", "line", "1", "2", "-1", K, "2", "-1")],

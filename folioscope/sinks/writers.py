@@ -437,7 +437,7 @@ def png(rows) -> bytes:
 
 #: Writer, the format whose rows it takes, and the reader that gives them back (where one does).
 WRITERS: dict[str, tuple[Callable, str, str | None]] = {
-    "docx": (docx, "docx", "docx"), "pptx": (pptx, "pptx", "pptx"), "xlsx": (xlsx, "xlsx", "xlsx"), "pdf": (pdf, "pdf", "pdf"), "csv": (csv_text, "csv", "csv"), "markdown": (markdown, "docx", "markdown"), "html": (html_page, "docx", "html"), "tex": (tex, "docx", None),
+    "docx": (docx, "docx", "docx"), "pptx": (pptx, "pptx", "pptx"), "xlsx": (xlsx, "xlsx", "xlsx"), "pdf": (pdf, "pdf", "pdf"), "csv": (csv_text, "csv", "csv"), "markdown": (markdown, "docx", "markdown"), "html": (html_page, "docx", "html"), "tex": (tex, "docx", "tex"),
     "svg": (svg, "svg", "svg"), "datauri": (data_uri, "svg", None), "path": (path_data, "svg", None), "jsx": (jsx, "svg", None), "tsx": (tsx, "svg", None), "vue": (vue, "svg", None), "svelte": (svelte, "svg", None),
     "dot": (dot, "dot", "dot"), "mermaid": (mermaid, "mermaid", "mermaid"), "drawio": (drawio, "drawio", "drawio"), "obj": (obj, "obj", "obj"), "off": (off, "off", "off"), "ply": (ply, "ply", "ply"), "stl": (stl, "stl", "stl"), "3mf": (threemf, "threemf", "threemf"),
     "gmsh": (gmsh, "simulation", "simulation"), "vtk": (vtk, "simulation", "simulation"), "step": (step, "step", "step"), "iges": (iges, "iges", "iges"), "dxf": (dxf, "dxf", "dxf"), "gcode": (gcode, "gcode", "gcode"), "hpgl": (hpgl, "hpgl", "hpgl"), "gerber": (gerber, "gerber", "gerber"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MOST_BYTES = 512 << 20
 #: Rows that are handed on at once.
 ROWS = 10_000
-MODULES = ("tables", "texts", "records", "science", "jsons", "xmls", "counts", "packages", "graphs", "geo", "shapes", "headers")
+MODULES = ("tables", "texts", "records", "science", "jsons", "xmls", "counts", "packages", "graphs", "geo", "shapes", "headers", "legacy")
 
 
 @dataclass(frozen=True)
