@@ -26,6 +26,14 @@ def test_sample(name):
     assert rows(name, samples.content_of(case, ROW)) == [tuple(None if v is None else samples.fill(v, ROW) for v in r) for r in want]
 
 
+def pack_parts(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, part in parts.items():
+            z.writestr(name, part)
+    return out.getvalue()
+
+
 def database(*statements):
     db = sqlite3.connect(":memory:")
     for s in statements:
@@ -127,16 +135,9 @@ def test_pictures_and_headers():
 
 
 def test_packages():
-    def pack(**parts):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name, part in parts.items():
-                z.writestr(name.replace("__", "/").replace("_dot_", "."), part)
-        return out.getvalue()
-
-    assert rows("iwork", pack(Index__Document_dot_iwa="x"))[:2] == [("Package", "1", "1 bytes"), ("Index", "1", "Index/Document.iwa")]
-    assert ("Element", "submodel", "1") in rows("aasx", pack(aasx__a_dot_aas_dot_xml="<e><submodel/></e>"))
-    assert ("Element", "Reference3D", "2") in rows("3dxml", pack(a_dot_3dxml="<M><Reference3D/><Reference3D/></M>"))
+    assert rows("iwork", pack_parts({"Index/Document.iwa": "x"}))[:2] == [("Package", "1", "1 bytes"), ("Index", "1", "Index/Document.iwa")]
+    assert ("Element", "submodel", "1") in rows("aasx", pack_parts({"aasx/a.aas.xml": "<e><submodel/></e>"}))
+    assert ("Element", "Reference3D", "2") in rows("3dxml", pack_parts({"a.3dxml": "<M><Reference3D/><Reference3D/></M>"}))
 
 
 def test_bad_files_cost_one_row(spark):
