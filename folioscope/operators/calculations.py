@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calculator as K
 from ..functions import shapes as S
 from ..functions.sheetformula import formula
 from ..plans.rollups import read
@@ -80,8 +81,32 @@ def map_points(spark, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", tx.cast("long").alias("tx"), ty.cast("long").alias("ty"), F.floor(lon * 1000).alias("lon"), F.floor(lat * 1000).alias("lat"), S.in_ring(x + 0.5, y + 0.25, *ring).alias("inside"), S.ring_area(*ring).cast("long").alias("area"))
 
 
-QUERIES = {n: globals()[n] for n in ("formula_aggregates", "formula_scalars", "number_codes", "date_codes", "list_numbers", "colour_blends", "printed_numbers", "map_points")}
+def page_functions(spark, sf_dir: str) -> DataFrame:
+    """Stack programs, samples, powers and pieces over the sizes of parts."""
+    p = read(spark, sf_dir, "part")
+    x, y = F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")
+    first, second = K.stack_program("{ 2 copy add 3 1 roll exch sub dup 0 lt { neg } if }", [x, y])
+    (chosen,) = K.stack_program("{ 1 index 25 gt 2 index 10 mod 3 eq or { pop 2 mul } { exch pop 1 add } ifelse cvi }", [x, y])
+    milli = lambda c: F.floor(c * 1000 + 0.25).cast("long")
+    pieces = K.stitched(x / 50, [lambda t: K.power(t, [0.0], [1.0], 2)[0], lambda t: K.sampled(t, [1.0, 0.5, 0.75])], [0.4])
+    return p.select("p_partkey", first.cast("long").alias("total"), second.cast("long").alias("apart"), chosen.cast("long").alias("chosen"), milli(K.sampled(x, [0, 10, 5, 20], (0, 60))).alias("sampled"), milli(K.power(x / 50, [1.0, 0.0], [0.0, 2.0], 3)[1]).alias("power"), milli(pieces).alias("pieces"))
+
+
+def wrapped_names(spark, sf_dir: str) -> DataFrame:
+    """Names of parts with their brand and type in lines of limited width."""
+    p = read(spark, sf_dir, "part")
+    lines = K.wrapped(F.concat_ws("  ", "p_brand", "p_type"), 10.0, 60.0)
+    return p.select("p_partkey", F.array_join(lines, "|").alias("lines"), F.floor(K.text_width(F.col("p_name"), 10.0) * 10 + 0.5).cast("long").alias("width"))
+
+
+QUERIES = {n: globals()[n] for n in ("page_functions", "wrapped_names", "formula_aggregates", "formula_scalars", "number_codes", "date_codes", "list_numbers", "colour_blends", "printed_numbers", "map_points")}
 ORACLES = {
+    "page_functions": """WITH v AS (SELECT p_partkey, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS y, p_size / 50.0::DOUBLE AS t FROM part)
+SELECT p_partkey, (x + y)::BIGINT AS total, abs(y - x)::BIGINT AS apart, (CASE WHEN x > 25 OR x % 10 = 3 THEN 2 * x ELSE y + 1 END)::BIGINT AS chosen,
+  floor(CASE WHEN x < 20 THEN x / 60 * 3 * 10 WHEN x < 40 THEN 10 - (x / 60 * 3 - 1) * 5 ELSE 5 + (x / 60 * 3 - 2) * 15 END * 1000 + 0.25)::BIGINT AS sampled, floor(pow(t, 3) * 2 * 1000 + 0.25)::BIGINT AS power,
+  floor(CASE WHEN least(t, 1) < 0.4::DOUBLE THEN pow(t / 0.4::DOUBLE, 2) WHEN (least(t, 1) - 0.4::DOUBLE) / 0.6::DOUBLE < 0.5 THEN 1 - (least(t, 1) - 0.4::DOUBLE) / 0.6::DOUBLE * 2 * 0.5 ELSE 0.5 + ((least(t, 1) - 0.4::DOUBLE) / 0.6::DOUBLE * 2 - 1) * 0.25 END * 1000 + 0.25)::BIGINT AS pieces FROM v""",
+    "wrapped_names": """SELECT p_partkey, CASE WHEN (length(p_brand) + length(p_type)) * 5.5 + 3 <= 60 THEN p_brand || ' ' || p_type ELSE p_brand || '|' || p_type END AS lines,
+  floor((length(p_name) - len(regexp_extract_all(p_name, '\\s')) * 1) * 55.0 + len(regexp_extract_all(p_name, '\\s')) * 30.0 + 0.5)::BIGINT AS width FROM part""",
     "formula_aggregates": """SELECT p_brand, floor(sum(p_retailprice) * 100 + 0.5)::BIGINT AS sum, floor(avg(p_size) * 100 + 0.5)::BIGINT AS average, floor(min(p_retailprice) * 100 + 0.5)::BIGINT AS least, floor(greatest(max(p_retailprice), max(p_size)) * 100 + 0.5)::BIGINT AS largest,
   count(p_size) + count(TRY_CAST(p_name AS DOUBLE)) AS count, count(p_name) + count(p_type) AS counta, count(*) FILTER (WHERE p_size >= 25 AND lower(p_type) LIKE '%e%') AS countifs, count(*) FILTER (WHERE lower(coalesce(p_type, '')) NOT LIKE '%a%') AS countif,
   floor(coalesce(sum(p_retailprice) FILTER (WHERE p_size > 25), 0) * 100 + 0.5)::BIGINT AS sumif, floor(coalesce(sum(p_retailprice) FILTER (WHERE p_size <= 10 AND lower(p_type) LIKE '%s%'), 0) * 100 + 0.5)::BIGINT AS sumifs,
