@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: A parameter is masked if its key, in lower case without - and _, contains one of these.
 SENSITIVE = ("token", "secret", "password", "apikey", "authorization", "cookie", "session", "credential")
 
+#: A field is masked if its path, in lower case without - and _, contains one of these.
+SENSITIVE_FIELDS = ("password", "passcode", "secret", "token", "ssn", "socialsecurity", "bankaccount")
+
+
+def masked_field(path: Column, value: Column) -> Column:
+    """The value, or ``***`` where the field's path is sensitive."""
+    return F.when(F.regexp_replace(F.lower(path), "[-_]", "").rlike("|".join(SENSITIVE_FIELDS)), F.lit("***")).otherwise(value)
+
 
 def base_name(path: Column) -> Column:
     """What follows the last slash of either kind."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import criterion
-from ..functions.text import base_name, mask_url, masked_parameters
+from ..functions.text import base_name, mask_url, masked_field, masked_parameters
 from ..plans.rollups import read
 
 
@@ -43,6 +43,13 @@ def url_mask(spark, sf_dir: str) -> DataFrame:
     return p.select("page_id", mask_url(url).alias("masked_url"), masked_parameters(url).cast("long").alias("masked"), base_name(F.regexp_replace("url", "[?#].*$", "")).alias("name"))
 
 
+def masked_fields(spark, sf_dir: str) -> DataFrame:
+    """Form fields by path, sensitive values masked."""
+    c = read(spark, sf_dir, "customer")
+    path = F.element_at(F.array(*map(F.lit, ("user.Pass_Code", "user.name", "bank-account.no", "a.my_SSN"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return c.select("c_custkey", path.alias("path"), masked_field(path, F.col("c_name")).alias("value"))
+
+
 def text_width_spans(spark, sf_dir: str) -> DataFrame:
     """Wide, white and other characters of each text, and its width in half cells."""
     wide, white = F.regexp_count("text", F.lit(r"[\x{3000}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}]")), F.regexp_count("text", F.lit(r"[ \t\n\r]"))
@@ -63,7 +70,7 @@ def text_criteria(spark, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(criterion(t, r)).alias(n) for n, r in rules.items()])
 
 
-NAMES = ("suite_totals", "coverage_rate", "stacked_domain", "distinct_warnings", "url_mask", "text_width_spans", "number_formats", "text_criteria")
+NAMES = ("suite_totals", "coverage_rate", "stacked_domain", "distinct_warnings", "url_mask", "masked_fields", "text_width_spans", "number_formats", "text_criteria")
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {
     "suite_totals": """SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN '(total)' ELSE o_orderpriority END AS suite, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done,
@@ -77,6 +84,8 @@ q AS (SELECT *, regexp_extract(x, '^([^?#]*\\??)', 1) AS head, string_split(rege
 k AS (SELECT *, list_transform(ps, lambda p: regexp_matches(regexp_replace(lower(split_part(p, '=', 1)), '[-_]', '', 'g'), 'token|secret|password|apikey|authorization|cookie|session|credential')) AS hits FROM q)
 SELECT page_id, head || array_to_string(list_transform(ps, lambda p, i: CASE WHEN hits[i] THEN split_part(p, '=', 1) || '=***' ELSE p END), '&') || tail AS masked_url, len(list_filter(hits, lambda h: h)) AS masked,
   regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]*)$', 1) AS name FROM k""",
+    "masked_fields": """SELECT c_custkey, path, CASE WHEN path IN ('user.Pass_Code', 'bank-account.no', 'a.my_SSN') THEN '***' ELSE c_name END AS value
+FROM (SELECT c_custkey, c_name, ['user.Pass_Code', 'user.name', 'bank-account.no', 'a.my_SSN'][c_custkey % 4 + 1] AS path FROM customer)""",
     "text_width_spans": """WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\\x{3000}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FF60}]', '', 'g')) AS wide, length(regexp_replace(text, '[^ \\t\\n\\r]', '', 'g')) AS white, length(text) AS chars FROM documents)
 SELECT doc_id, wide, white, chars - wide - white AS other, chars + wide AS cells FROM c""",
     "number_formats": "SELECT p_partkey, format('{:,.2f}', p_retailprice) AS grouped, p_size || '%' AS percent, lpad(p_size::VARCHAR, 5, '0') AS padded, concat_ws('-', p_brand, NULL, p_type) AS joined FROM part",

@@ -477,8 +477,9 @@ def files_from(rows: DataFrame, name: str) -> DataFrame:
 def publish(files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
     """Writes (path, content) as files under a new folder and gives the report (file, bytes).
 
-    Executors write into a folder beside it, which is renamed when all are there; ``folder`` must
-    not exist.  ``conversion.json``, the report, is written last and marks the end.
+    Executors write into a folder beside it, the report as a table there, too; it is renamed when
+    all are there, and ``folder`` must not exist.  ``conversion.json``, the sums, is written last
+    and marks the end.  Nothing that grows with the files comes to the driver.
     """
     spark: SparkSession = files.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
@@ -487,11 +488,12 @@ def publish(files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
         raise FileExistsError(folder)
     stage = f"{folder.rstrip('/')}.part"
     fs.delete(hadoop(stage), True)
+    where = stage if "://" in stage else "file://" + stage.removeprefix("file:")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as arrow_fs
 
-        store, base = arrow_fs.FileSystem.from_uri(stage if "://" in stage else f"file://{stage}" if not stage.startswith("file:") else "file://" + stage.removeprefix("file:"))
+        store, base = arrow_fs.FileSystem.from_uri(where)
         store.create_dir(base, recursive=True)
         for batch in batches:
             names, sizes = [], []
@@ -503,11 +505,13 @@ def publish(files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
                 sizes.append(len(content))
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
 
-    report = [r.asDict() for r in files.mapInArrow(run, "file string, bytes long").orderBy("file").toLocalIterator()]
-    if not report:
+    files.mapInArrow(run, "file string, bytes long").write.parquet(f"{stage}/_report")
+    n, size = spark.read.parquet(f"{stage}/_report").agg(F.count("*"), F.sum("bytes")).first()
+    if not n:
+        fs.delete(hadoop(stage), True)
         raise ValueError("there is nothing to write")
     fs.rename(hadoop(stage), hadoop(folder))
     out = fs.create(hadoop(f"{folder}/conversion.json"))
-    out.write(bytearray(json.dumps({"files": len(report), "bytes": sum(r["bytes"] for r in report), "outputs": report}).encode()))
+    out.write(bytearray(json.dumps({"files": n, "bytes": size}).encode()))
     out.close()
-    return spark.createDataFrame(report, "file string, bytes long")
+    return spark.read.parquet(f"{folder}/_report")

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import importlib
 import json
+import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from urllib.parse import unquote
 from xml.etree.ElementTree import ParseError
 
 import pyarrow as pa
@@ -128,6 +130,28 @@ def name_of(path: str | None, head: bytes | None) -> str | None:
     return found or next((k for k, f in formats().items() if f.sniff and head and f.sniff(head)), None)
 
 
+def confined(base: str, reference: str) -> str | None:
+    """The path that a file's relative reference means, if it stays in the file's folder, else null:
+    no scheme, no absolute path, no step up, no control character, escaped or not."""
+    plain = unquote(reference.split("#")[0].split("?")[0])
+    parts = plain.replace("\\", "/").split("/")
+    if not plain or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", plain) or plain[0] in "/\\" or ".." in parts or any(ord(c) < 32 or ord(c) == 127 for c in plain):
+        return None
+    folder = base.rpartition("/")[0]
+    return "/".join([*([folder] if folder else []), *(p for p in parts if p not in ("", "."))])
+
+
+def references(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, reference, target, length): references (path, reference) of files joined with the files (path, content)
+    that they mean; ``target`` is null where it isn't there or not confined."""
+    import pandas as pd
+
+    at = F.pandas_udf(lambda p, r: pd.Series([confined(a, b) if a is not None and b is not None else None for a, b in zip(p, r, strict=True)], dtype="object"), "string")
+    asked = found.select("path", "reference", at(F.col("path"), F.col("reference")).alias("asked"))
+    there = files.select(F.col("path").alias("target"), F.length("content").cast("long").alias("length"))
+    return asked.join(there, F.col("asked") == F.col("target"), "left").drop("asked")
+
+
 def detect(path: Column, head: Column) -> Column:
     """``name_of`` the path and the first bytes; null if neither tells."""
 

@@ -161,3 +161,12 @@ def test_conversion_of_a_folder(spark, tmp_path):
     assert {k: v[0][0] for k, v in got.items()} == {"b.json": "json", "c.bin": "cyclonedx", "d": "pdf", "e.dat": None, "f.xml": "xml", "g.txt": "gpx", "h.topojson": "topojson", "i.CSV": "csv"}
     assert got["b.json"] == [("json", {"leaf": "$.k", "kind": "number", "value": "1"}, False)] and got["h.topojson"][0][2] and got["e.dat"][0][2]
     assert got["i.CSV"] == [("csv", {"row": "1", "col": "1", "header": "a", "value": "1"}, False)]
+
+
+def test_references_stay_in_their_folder(spark):
+    c = files.confined
+    assert c("a/b.html", "i/x.png?v#f") == "a/i/x.png" and c("b.html", "./x%20y.png") == "x y.png"
+    assert not any(c("a/b.html", r) for r in ("", "../x", "%2e%2e/x", "/etc/x", "//h/x", "http://h/x", "data:x", "a\\..\\b", "x%00", "C:\\x"))
+    there = spark.createDataFrame([("a/i.png", b"123"), ("x.png", b"1")], "path string, content binary")
+    asked = spark.createDataFrame([("a/b.html", "i.png"), ("a/b.html", "../x.png"), ("a/b.html", "no.png"), (None, "x")], "path string, reference string")
+    assert sorted(((r.reference, r.target, r.length) for r in files.references(there, asked).collect()), key=repr) == sorted([("i.png", "a/i.png", 3), ("../x.png", None, None), ("no.png", None, None), ("x", None, None)], key=repr)

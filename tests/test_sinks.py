@@ -16,7 +16,7 @@ from folioscope.sources.files import _plain, formats
 
 
 def listed(folder):
-    return sorted(f for f in os.listdir(folder) if not f.startswith("."))  # the file system's check sums
+    return sorted(f for f in os.listdir(folder) if f[0] not in "._")  # without the file system's check sums and the report
 
 
 ROW = {"s_suppkey": 17, "s_name": "Supplier#17", "s_nationkey": 5}
