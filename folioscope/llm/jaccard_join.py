@@ -35,8 +35,10 @@ SPACES = {32, 9, 10, 11, 12, 13}
 #: Least and largest size of the token count table (8 bytes each where it is used), and of a part of it that is sent.
 BUCKETS, MOST_BUCKETS, CHUNK = 1 << 18, 1 << 23, 1 << 12
 MINHASHES, AGREE = 6, 3
-#: Least and most bits of a map of ids; what passes it by chance is joined with the ids, or found alone later.
-LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
+#: Least and most bits of a map of ids, and of each id: what passes by chance is work, never a result.
+LEAST_BITS, MOST_BITS, ID_BITS = 1 << 23, 1 << 28, 64
+#: Prefix entries of one part of the token space, which a task holds at once.
+CHUNK_ENTRIES = 1 << 21
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
 #: Tokens for each part of the token space; the parts' counts bound the overlap of two sets before they meet.
@@ -118,7 +120,7 @@ def _holds(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _bits(ids: DataFrame, column: str) -> np.ndarray:
     """A bitmap, sized by their number, that holds at least the given 64-bit ids."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ids.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (ID_BITS * ids.count()).bit_length()))
     where = F.pmod(F.col(column), F.lit(bits)) + 1  # bucket b begins at (b - 1) * 32768 + 1
     got = ids.select(F.bitmap_bucket_number(where).alias("b"), F.bitmap_bit_position(where).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     out = np.zeros(bits // 8, dtype=np.uint8)
@@ -215,93 +217,82 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def _place(token: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of the token space by the upper half of each token (unsigned), and its name: the part and the lower half."""
+def _place(token: np.ndarray, chunks: int) -> np.ndarray:
+    """A token's name: its part of the token space, by its upper half, and its lower half.  Tokens of
+    one name have one list, so a name that two share costs comparisons only."""
     chunk = ((token >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)
-    return chunk, chunk << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+    return chunk << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+
+
+def _best(name: np.ndarray, owner: np.ndarray, n: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries sorted by token, class and size, of equal ones the one with the most remaining tokens."""
+    order = np.lexsort((~r, n, owner, name))
+    name, owner, n, r = name[order], owner[order], n[order], r[order]
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]) | (n[1:] != n[:-1])
+    return name[new], owner[new], n[new], r[new]
 
 
 def _owned(chunks: int):
-    """Rows (c, n, prefix) to (chunk, data): by parts of the token space, the low 32 bits
-    of each token as steps, its class and a byte of its size, sorted by token and class."""
+    """Rows (c, n, prefix) to (chunk, data): by parts of the token space, the low 32 bits of each
+    token as steps, its class, the set's size and remaining tokens, sorted."""
     schema = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, row, _ = _flat(batch)
-            _, name = _place(token.view(np.uint64), chunks)
-            owner, n = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row].astype(np.uint8)
-            order = np.lexsort((n, owner, name))
-            name, owner, n = name[order], owner[order], n[order]
-            new = np.ones(len(name), dtype=bool)
-            new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1]) | (n[1:] != n[:-1])
-            name, owner, n = name[new], owner[new], n[new]
+            token, row, pos = _flat(batch)
+            name = _place(token.view(np.uint64), chunks)
+            n = batch.column(1).to_numpy()[row]
+            name, owner, n, r = _best(name, batch.column(0).to_numpy()[row], n.astype(np.uint32), (n - pos).astype(np.uint32))
             edge = np.searchsorted(name >> np.uint64(32), np.arange(chunks + 1, dtype=np.uint64))
             some = np.flatnonzero(edge[1:] > edge[:-1])
             low = name.astype(np.uint32)
-            data = [_planes(np.diff(low[x], prepend=np.uint32(0))) + owner[x].tobytes() + n[x].tobytes() for x in (slice(edge[k], edge[k + 1]) for k in some)]
+            data = [_planes(np.diff(low[x], prepend=np.uint32(0))) + owner[x].tobytes() + _planes(n[x]) + _planes(r[x]) for x in (slice(edge[k], edge[k + 1]) for k in some)]
             yield pa.record_batch([pa.array(some, pa.int32()), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, data) sorted by chunk to (token, m): names of tokens of several
-    classes and how many entries their lists get."""
+def _unplanes(data: bytes, at: int, k: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * k, at).reshape(4, k).T).view(np.uint32).ravel()
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, data) sorted by chunk to (token, c, n, r, m): the index lists of tokens that several
+    classes have, each entry with how many its list has.  Most tokens are one class's and end here."""
     parts: list[bytes] = []
 
-    def done(chunk: int):
-        token, owner, size = [], [], []
+    def done(chunk: int) -> Iterator[pa.RecordBatch]:
+        token, owner, n, r = [], [], [], []
         for p in parts:
-            k = len(p) // 13
-            steps = np.frombuffer(p, np.uint8, 4 * k).reshape(4, k).T
-            token.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32))
+            k = len(p) // 20
+            token.append(np.cumsum(_unplanes(p, 0, k), dtype=np.uint32))
             owner.append(np.frombuffer(p, np.int64, k, 4 * k))
-            size.append(np.frombuffer(p, np.uint8, k, 12 * k))
+            n.append(_unplanes(p, 12 * k, k))
+            r.append(_unplanes(p, 16 * k, k))
         parts.clear()
-        token, owner, size = np.concatenate(token), np.concatenate(owner), np.concatenate(size)
-        order = np.lexsort((size, owner, token))
-        token, owner, size = token[order], owner[order], size[order]
-        other = np.append(True, owner[1:] != owner[:-1])
-        head = np.append(True, token[1:] != token[:-1])
-        new = head | other
-        new[1:] |= size[1:] != size[:-1]
-        token, owner = token[new], owner[new]
+        token, owner, n, r = _best(*map(np.concatenate, (token, owner, n, r)))
         at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         end = np.append(at[1:], len(token))
-        several = owner[at] != owner[end - 1]
-        return pa.record_batch([pa.array(token[at][several].astype(np.int64) | chunk << 32), pa.array((end - at)[several])], names=["token", "m"])
+        size = end - at
+        keep = np.repeat(owner[at] != owner[end - 1], size)
+        m = np.repeat(size, size)[keep]
+        token = token[keep].astype(np.int64) | np.int64(chunk) << np.int64(32)
+        columns = [token, owner[keep], n[keep].astype(np.int64), r[keep].astype(np.int64), m.astype(np.int64)]
+        for i in range(0, len(token), 1 << 17):
+            yield pa.record_batch([pa.array(c[i : i + (1 << 17)]) for c in columns], names=["token", "c", "n", "r", "m"])
 
     chunk = None
     for batch in batches:
         for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if k != chunk and parts:
-                yield done(chunk)
+                yield from done(chunk)
             chunk = k
             parts.append(p)
     if parts:
-        yield done(chunk)
-
-
-def _shared(passes: np.ndarray, hot: np.ndarray, chunks: int):
-    """Rows (c, n, prefix) to (token, c, n, r, name, hot), of tokens whose names the first bitmap
-    holds; hot are those that the second one holds."""
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("name", pa.int64()), ("hot", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, row, pos = _flat(batch)
-            name = _place(token.view(np.uint64), chunks)[1].astype(np.int64)
-            some = _holds(passes, name)
-            token, row, pos, name = token[some], row[some], pos[some], name[some]
-            n = batch.column(1).to_numpy()[row]
-            yield pa.record_batch([pa.array(token), pa.array(batch.column(0).to_numpy()[row]), pa.array(n), pa.array(n - pos), pa.array(name), pa.array(_holds(hot, name))], schema=schema)
-
-    return run
+        yield from done(chunk)
 
 
 def _lists(num: int, den: int):
@@ -464,23 +455,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     members = listed.where("items is not null").select("f1", "n", "prefix").join(led.select(F.col("b").alias("f1"), "leader"), "f1", "left")
     prefixes = listed.where("items is null").select(F.col("f1").alias("c"), "n", "prefix")
     prefixes = materialize(prefixes.unionByName(members.select(F.coalesce("leader", "f1").alias("c"), "n", "prefix")), "prefixes")
-    # tokens of one class alone, most by far, are only counted, by parts of token and class
-    chunks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # by parts of the token space, of which no task holds more than a bounded number of entries
+    entries = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    chunks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // CHUNK_ENTRIES))
     owned = prefixes.mapInArrow(lean(_owned(chunks)), "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
-    shared = materialize(owned.mapInArrow(lean(_counted), "token long, m long"), "shared")
-    long = shared.where(F.col("m") > CELL)
-    passes = _shared(_bits(shared, "token"), _bits(long, "token"), chunks)
-    posted = prefixes.mapInArrow(lean(passes), "token long, c long, n long, r long, name long, hot boolean")
-    if shared.count() > MOST_BITS // 8:  # the map is too full to sort out the rest
-        posted = posted.join(shared.select(F.col("token").alias("name")), "name", "left_semi")
-    posted = posted.groupBy("token", "c", "n", "name", "hot").agg(F.max("r").alias("r"))
-    posted = materialize(posted, "posted")
+    posted = materialize(owned.mapInArrow(lean(_posted), "token long, c long, n long, r long, m long"), "posted")
     # a list longer than a cell is cut, and every two of its cells meet
-    long = long.select(F.col("token").alias("name"), F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
-    entries = posted.where("hot").join(long, "name", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    entries = posted.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     entries = entries.select("token", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).cast("long").alias("cell"), "c", "n", "r")
-    entries = entries.unionByName(posted.where("not hot").select("token", F.lit(0).cast("long").alias("cell"), "c", "n", "r"))
     met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n").mapInArrow(lean(_lists(num, den)), "a long, b long")
     far = 1 - num / den
     radius = led.groupBy(F.col("leader").alias("l")).agg(F.max("d").alias("radius"))

@@ -7,19 +7,25 @@ from folioscope.llm import jaccard_join
 from tests.llm.test_operators import check_jaccard
 
 
-def shared_tokens(classes, tokens, chunks=8):
+def lists(classes, tokens, chunks=8):
+    """Token names with the entries (class, size, remaining) of their lists."""
     batch = pa.record_batch([pa.array(classes, pa.int64()), pa.array([9] * len(classes), pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["c", "n", "prefix"])
     owned = pa.Table.from_batches(list(jaccard_join._owned(chunks)([batch]))).sort_by("chunk").to_batches()
-    return {t: m for b in jaccard_join._counted(iter(owned)) for t, m in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    out = {}
+    for b in jaccard_join._posted(iter(owned)):
+        for t, c, n, r, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out.setdefault(t, []).append((c, n, r, m))
+    return out
 
 
 def test_classes_of_equal_halves_are_two():
     """Classes whose hashes agree in the upper or the lower 32 bits still share tokens."""
-    tokens = [[5, 1 << 40, -7], [5, 1 << 40, 99]]
-    for a, b in (((7 << 32) | 1, (7 << 32) | 2), (1, (9 << 32) | 1), (-1, -2)):
-        names = jaccard_join._place(np.array([5, 1 << 40], dtype=np.int64).view(np.uint64), 8)[1].tolist()
-        assert shared_tokens([a, b], tokens) == dict.fromkeys(names, 2)
-    assert shared_tokens([3, 3], tokens) == {}
+    tokens = [[5, 1 << 40, -7], [1 << 40, 5, 99]]
+    first, second = jaccard_join._place(np.array([5, 1 << 40], dtype=np.int64).view(np.uint64), 8).tolist()
+    for a, b in (((7 << 32) | 1, (7 << 32) | 2), (1, (9 << 32) | 1), (-2, -1)):
+        assert lists([a, b], tokens) == {first: [(a, 9, 9, 2), (b, 9, 8, 2)], second: [(a, 9, 8, 2), (b, 9, 9, 2)]}
+    assert lists([3, 3], tokens) == {}
+    assert lists([3, 3, 4], [[8, 5], [5], [5]])[first] == [(3, 9, 9, 2), (4, 9, 9, 2)]
 
 
 def test_hot_leader_is_spread(spark, monkeypatch):
