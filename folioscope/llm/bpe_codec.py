@@ -70,6 +70,14 @@ def _newer() -> tuple[str, dict[int, str], str]:
     return gone, {ord(a): b for a, b in zip(unknown, low, strict=True) if a != b} if len(low) == len(unknown) else {}, "".join(sorted(loose))
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Index(dict):
     """Numbers words in the order in which they come up."""
 
@@ -250,12 +258,12 @@ class WordBpe:
         return text.lower()
 
     def split(self, text: str) -> list[str]:
+        if _is_latin(text):  # such texts are in normal form, and their lower case is as short
+            return self.latin_words.findall(text.lower())
         text = self.normal(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return (self.odd_words if self.odd and self.odd.search(text) else self.words).findall(text)
-        return self.latin_words.findall(text)
+        if _is_latin(text):
+            return self.latin_words.findall(text)
+        return (self.odd_words if self.odd and self.odd.search(text) else self.words).findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text.  Some ten thousand texts or 16 MB are a good batch."""
