@@ -14,8 +14,8 @@ from ..plans.rollups import read
 PARTS = 256
 
 
-def numbered_rows(df: DataFrame, key: str, to: str = "row_no") -> DataFrame:
-    """``df`` with each row's place from 0 in the order of ``key``, nulls first.
+def numbered_rows(df: DataFrame, key: str, to: str = "row_no", nulls_last: bool = False) -> DataFrame:
+    """``df`` with each row's place from 0 in the order of ``key``, nulls first unless ``nulls_last``.
 
     The key's range is cut at approximate quantiles; the parts are counted and each is
     numbered by itself from the number of rows before it, so no task sorts the whole table.
@@ -26,7 +26,7 @@ def numbered_rows(df: DataFrame, key: str, to: str = "row_no") -> DataFrame:
     part = F.lit(0)
     if cuts:
         bounds = F.array(*map(F.lit, cuts))
-        part = F.when(F.col(key).isNull(), 0).otherwise(1 + F.size(F.filter(bounds, lambda b: b < F.col(key))))
+        part = F.when(F.col(key).isNull(), len(cuts) + 2 if nulls_last else 0).otherwise(1 + F.size(F.filter(bounds, lambda b: b < F.col(key))))
     parted = df.withColumn("_part", part.cast("int"))
     sizes = dict(map(tuple, parted.groupBy("_part").count().collect()))  # at most PARTS + 1 rows
     numbers = sorted(sizes)
@@ -52,9 +52,9 @@ def evenly(df: DataFrame, key: str, quota: int) -> DataFrame:
     return rows.withColumn("i", i).where(F.expr(f"(i * {total}L) div {quota}L = row_no and i < {quota}")).select("i", *df.columns)
 
 
-def pages_of(df: DataFrame, key: str, rows: int = 100) -> DataFrame:
+def pages_of(df: DataFrame, key: str, rows: int = 100, nulls_last: bool = False) -> DataFrame:
     """``df`` with the page of each row, from 0, in the order of ``key``."""
-    return numbered_rows(df, key).withColumn("page", F.expr(f"row_no div {rows}")).drop("row_no")
+    return numbered_rows(df, key, nulls_last=nulls_last).withColumn("page", F.expr(f"row_no div {rows}")).drop("row_no")
 
 
 def column_pages(df: DataFrame, column: str = "col", columns: int = 32) -> DataFrame:
@@ -121,9 +121,12 @@ def list_labels(spark, sf_dir: str) -> DataFrame:
 
 
 def column_slices(spark, sf_dir: str) -> DataFrame:
-    """Cells of a wide table by row page and column page: what each page holds."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("col"))
-    paged = column_pages(pages_of(p.where("col = 1").select("p_partkey"), "p_partkey").join(p, "p_partkey"))
+    """Cells of a wide table by row page and column page: what each page holds.
+
+    Rows get their page before they are cut into cells, so cells aren't joined or moved but counted where they arise.
+    """
+    p = pages_of(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", nulls_last=True)
+    paged = column_pages(p.withColumn("col", F.explode(F.sequence(F.lit(1), F.lit(40)))))
     return paged.groupBy("page", "column_page").agg(F.count("*").alias("cells"), F.min("p_partkey").alias("first_key"), F.max("col").alias("last_col"))
 
 

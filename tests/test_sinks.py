@@ -4,6 +4,7 @@ import base64
 import json
 import os
 
+import duckdb
 import pytest
 
 from folioscope import api
@@ -107,6 +108,16 @@ def test_numbering_of_any_keys(spark):
     assert sequence.evenly(sparse, "k", 500).count() == 100 and sequence.evenly(sparse.limit(0), "k", 5).count() == 0
 
 
+def test_column_slices_equal_sql_without_a_join(spark, tmp_path):
+    keys = [*range(1000, 1230), 1005, 1005, None, None]  # a key may repeat or be missing, its cells are counted once each
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = sequence.column_slices(spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a side of a join is 40 cells a row, and may be broadcast
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(sequence.ORACLES["column_slices"]).fetchall())
+
+
 def test_rules_in_order(spark):
     df = spark.createDataFrame([(1, "5"), (2, " "), (3, "x"), (4, None)], "i int, v string")
     given = [rules.Rule(rules.blank(df.v), "blank", 1, True), rules.Rule(rules.cell_is(df.v, "between", 9, 1), "in", 2), rules.Rule(~rules.contains_text(df.v, "X"), "not x", 3), rules.Rule(rules.expression(df, "=i>2"), "late", 0)]
