@@ -38,7 +38,7 @@ def formula_scalars(spark, sf_dir: str) -> DataFrame:
 def number_codes(spark, sf_dir: str) -> DataFrame:
     """Balances by number format codes."""
     c, v = read(spark, sf_dir, "customer"), F.col("c_acctbal")
-    return c.select("c_custkey", S.number_format(v, 2).alias("plain"), S.number_format(v, 4).alias("grouped"), S.number_format(v, 7).alias("money"), S.number_format(F.floor(v) / 100, 9).alias("percent"), S.number_format(F.col("c_custkey"), "000000").alias("padded"))
+    return c.select("c_custkey", S.number_format(v, 2).alias("plain"), S.number_format(v, 4).alias("grouped"), S.number_format(v, 7).alias("money"), S.number_format(F.floor(v).cast("decimal(20,0)") / 100, 9).alias("percent"), S.number_format(F.col("c_custkey"), "000000").alias("padded"))
 
 
 def date_codes(spark, sf_dir: str) -> DataFrame:

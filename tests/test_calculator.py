@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import calculator as K
+from folioscope.functions import shapes as S
 from folioscope.functions.sheetformula import formula
+from folioscope.operators import calculations
 
 
 def test_stack_programs(spark):
@@ -61,3 +64,22 @@ def test_formulas(spark):
     for bad in ("=SUM(", "=a b", "=nothing", "=LEN()", "=FOO(1)", "=(1", "=" + "(" * 70 + "1" + ")" * 70):
         with pytest.raises(ValueError):
             formula(bad, df)
+
+
+def test_number_codes_equal_sql_on_odd_balances(spark, tmp_path):
+    balances = [0.0, -0.0, None, 0.125, 2.675, 0.005, -0.004, -0.005, 999.995, -1234567.125, 2.0**50 + 0.125, 2.0**53 + 2, -(2.0**55), 7098040087340785.0]
+    rows = [(2**53 + 1 if i == 4 else None if i == 5 else i * 99_999, b) for i, b in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = sorted(map(tuple, calculations.number_codes(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(con.execute(calculations.ORACLES["number_codes"]).fetchall(), key=repr)
+
+
+def test_decimals_of_the_exact_double(spark):
+    draw = random.Random(7)
+    values = [0.5, 1.5, 2.5, 0.0005, -0.0005, 0.0015, 5e-324, 2.0**52 + 0.5, 2.0**53 - 1, -(2.0**62)]
+    values += [draw.choice((-1, 1)) * (draw.randint(0, 10**6) * 10 + 5) / 10 ** draw.randint(1, 9) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (0, 2, 3):
+        assert all(r[1] == f"{r[0]:.{k}f}" and r[2] == f"{r[0]:,.{k}f}" for r in df.select("x", S.fixed(df.x, k), S.fixed(df.x, k, True)).collect())
