@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import bpe_codec, decontaminate, jaccard_join, language_id, toxicity
-from folioscope.llm.stages import discard, discard_one, scratch_path, table, written
+from folioscope.llm.stages import SMALL, discard, discard_one, limit_batches, scratch_path, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no known language go."""
+    """Texts of no known language go.  Batches are small from here on: what one stage has made an executor take, the next ones don't get back."""
+    limit_batches(spark, SMALL)
     return language_id.drop_foreign(docs)
 
 

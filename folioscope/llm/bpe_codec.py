@@ -26,7 +26,9 @@ from .stages import lean, table
 
 NONE = np.int64(1 << 40)
 #: Words kept between batches of a task; beyond, the cache starts anew.
-CACHE = 200_000
+CACHE = 1 << 16
+#: Characters of texts that are encoded at once, and new words that are merged at once.
+AT_ONCE, MERGED = 1 << 18, 1 << 13
 #: Symbols from which on a word is merged by itself.
 LONG = 4096
 #: White space as the tokenizer's own pattern language has it.
@@ -242,9 +244,9 @@ class WordBpe:
         return sym[:n][out]
 
     def _learn(self, new: list[str]) -> None:
-        flat, count = self.merge([w.encode("utf-8", "surrogatepass") for w in new])
-        self.flat = np.concatenate([self.flat, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(count)])
+        made = [self.merge([w.encode("utf-8", "surrogatepass") for w in new[i : i + MERGED]]) for i in range(0, len(new), MERGED)]
+        self.flat = np.concatenate([self.flat, *(flat for flat, _ in made)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate([count for _, count in made]))])
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -266,15 +268,19 @@ class WordBpe:
         return (self.odd_words if self.odd and self.odd.search(text) else self.words).findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Token ids of each text.  Some ten thousand texts or 16 MB are a good batch."""
+        """Token ids of each text.  Texts of some AT_ONCE characters are a good batch."""
         if len(self.index) > CACHE:
             self.reset()
-        parts: list[list[list[str] | int]] = []
+        index = self.index
+
+        def numbered(piece: str) -> np.ndarray:  # the words' own strings go at once
+            words = self.split(piece)
+            return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+        parts: list[list[np.ndarray | int]] = []
         for text in texts:
             pieces = self.cut.split(text) if self.cut and "<|" in text else [text]
-            parts.append([self.special[p] if p in self.special else self.split(p) for p in pieces if p])
-        index = self.index
-        parts = [[p if isinstance(p, int) else np.fromiter(map(index.__getitem__, p), np.int64, len(p)) for p in part] for part in parts]
+            parts.append([self.special[p] if p in self.special else numbered(p) for p in pieces if p])
         if index.new:
             self._learn(index.new)
             index.new = []
@@ -310,7 +316,7 @@ def _batches(path: str, keep_ids: bool, keep_text: bool):
             i = 0
             while i < batch.num_rows:
                 j, size, some = i, 0, []
-                while j < batch.num_rows and (j == i or size < 1 << 20):
+                while j < batch.num_rows and (j == i or size < AT_ONCE):
                     some.append(texts[j].as_py() or "")
                     size += len(some[-1])
                     j += 1

@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: Bytes of an Arrow batch; executors hold a few for each task.
-BATCH = 4 << 20
+#: Bytes of an Arrow batch, and of one of the whole pipeline, whose executors have had other stages; they hold a few for each task.
+BATCH, SMALL = 4 << 20, 1 << 20
 ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def limit_batches(spark: SparkSession, most: int) -> None:
+    """From now on the session's Arrow batches have so many bytes at most."""
+    now = spark.conf.get(ARROW_BATCH, None)
+    if now and int(now.removesuffix("b")) > most:
+        spark.conf.set(ARROW_BATCH, f"{most}b")
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run`` for ``mapInArrow``, in batches of bounded bytes; when its task ends, the
     worker, which waits for other work, gives back what its allocators hold."""
-    spark = SparkSession.getActiveSession()
-    now = spark and spark.conf.get(ARROW_BATCH, None)
-    if now and int(now.removesuffix("b")) > BATCH:
-        spark.conf.set(ARROW_BATCH, f"{BATCH}b")
+    if spark := SparkSession.getActiveSession():
+        limit_batches(spark, BATCH)
 
     def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

@@ -1,9 +1,11 @@
 """The merge rounds against the library: every code point, long words, random strings."""
 
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -51,3 +53,17 @@ def test_decoding_is_the_library_s(both):
         ids = next(mine.encode([text]))
         assert mine.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
         assert np.array_equal(ids, library.encode(text, add_special_tokens=False).ids)
+
+
+def test_memory_of_new_words():
+    """Texts full of words that no batch had before take a bounded room in a worker."""
+    letters = str.maketrans("0123456789", "etaoinshrd")
+    texts = [" ".join(f"{(i * 2000 + k) * 104729 % 999999999989:012}".translate(letters) for k in range(2000)) for i in range(60)]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    run = bpe_codec._batches(bpe_codec.vocabulary(), True, False)
+    list(run([batch.slice(0, 1)]))  # the tokenizer itself
+    tracemalloc.start()
+    rows = [x for b in run([batch]) for x in b.column(1).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 60 and peak < 40 << 20
