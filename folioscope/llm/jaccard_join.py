@@ -41,6 +41,8 @@ LEAST_BITS, MOST_BITS, ID_BITS = 1 << 23, 1 << 28, 64
 CHUNK_ENTRIES = 1 << 21
 #: Entries of a cell of a long index list, and of a block within it.
 CELL, BLOCK = 1024, 64
+#: Pairs out of the lists that a task holds before it gives them on.
+PAIRS = 1 << 18
 #: Tokens for each part of the token space; the parts' counts bound the overlap of two sets before they meet.
 PER_BIN, LEAST_BINS = 4, 64
 #: Sets of either side of a comparison of members, or of a hub's partners, in one task.
@@ -322,8 +324,11 @@ def _lists(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         out: list[np.ndarray] = []
+        held = 0
 
         def flush():
+            nonlocal held
+            held = 0
             both = np.unique(np.concatenate(out, axis=1), axis=1)
             out.clear()
             return pa.record_batch([pa.array(both[0]), pa.array(both[1])], schema=schema)
@@ -333,10 +338,14 @@ def _lists(num: int, den: int):
             return np.concatenate(([0], np.flatnonzero(key) + 1, [len(block[0])]))
 
         def take(block, cuts):
+            nonlocal held
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
                     for x, y in pairs(block[2][a:b], block[3][a:b], block[4][a:b]):
                         out.append(np.stack([x, y]))
+                        held += len(x)
+                        if held >= PAIRS:
+                            yield flush()
 
         for batch in batches:
             if not batch.num_rows:
@@ -345,12 +354,12 @@ def _lists(num: int, den: int):
             if rest is not None:
                 block = [np.concatenate(x) for x in zip(rest, block, strict=True)]
             cuts = groups(block)
-            take(block, cuts[:-1])
+            yield from take(block, cuts[:-1])
             rest = [x[cuts[-2] :] for x in block]
-            if sum(x.shape[1] for x in out) > 100_000:
+            if held > 100_000:
                 yield flush()
         if rest is not None:
-            take(rest, groups(rest))
+            yield from take(rest, groups(rest))
         if out:
             yield flush()
 

@@ -1,5 +1,7 @@
 """The parts of the similarity join that whole runs on small tables don't reach."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,3 +54,17 @@ def test_full_maps_lose_nothing(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, name, value)
     texts = [" ".join(f"a{(i // 3) * 7 + k}" for k in range(40 - i % 3)) for i in range(400)]
     check_jaccard(spark, texts)
+
+
+def test_pairs_of_hot_lists_go_on():
+    """A batch of ten full cells makes millions of pairs, of which a task holds a bounded number."""
+    n = 1000
+    columns = [np.repeat(np.arange(10), n), np.zeros(10 * n, np.int64), np.tile(np.arange(n), 10), np.full(10 * n, 9), np.full(10 * n, 9)]
+    batch = pa.record_batch([pa.array(c) for c in columns], names=["token", "cell", "c", "n", "r"])
+    tracemalloc.start()
+    got = [len(b) for b in jaccard_join._lists(85, 100)([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got) >= n * (n - 1) // 2 and peak < 60 << 20
+    found = {p for b in jaccard_join._lists(85, 100)([batch.slice(0, n)]) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert len(found) == n * (n - 1) // 2 and all(a < b for a, b in found)
